@@ -59,12 +59,13 @@ def count_statistics(column) -> dict[str, np.ndarray]:
         parts["n_repeat_words"].append(np.bincount(row[hit], minlength=ch.rows))
         # lines: between line feeds and row edges
         feeds = np.flatnonzero(ch.buf == 10)
-        begin = np.concatenate((ch.off[:-1], feeds + 1))
-        begin.sort(kind="stable")
+        # a row that is empty or ends with a line feed shares its edge with the next row
+        opens = np.zeros(len(ch.buf) + 1, bool)
+        opens[ch.off[:-1]] = True
+        opens[feeds + 1] = True
+        begin = np.flatnonzero(opens[:-1])
         # a line ends at the next line feed or at the end of its row
         line_row = np.searchsorted(ch.off[1:], begin, "right")
-        ok = line_row < ch.rows
-        begin, line_row = begin[ok], line_row[ok]
         stop = ch.off[line_row + 1]
         nxt = np.searchsorted(feeds, begin)
         has = nxt < len(feeds)
