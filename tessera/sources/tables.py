@@ -99,7 +99,7 @@ def sections(docs: DataFrame, heading: str = SECTION_HEADING) -> DataFrame:
     marked = F.regexp_replace("text", f"({heading})", mark + "$0")
     part = docs.select("doc_id", F.explode(F.split(marked, mark)).alias("part"))
     number = F.regexp_extract("part", heading, 1)
-    return part.withColumn("n", number).filter("n <> ''").select("doc_id", F.col("n").cast("int").alias("section"), F.trim(F.regexp_replace("part", heading, "")).alias("body"))
+    return part.withColumn("n", number).filter("n <> ''").select("doc_id", F.col("n").cast("int").alias("section"), F.regexp_replace(F.regexp_replace("part", heading, ""), r"^\s+|\s+$", "").alias("body"))
 
 
 def line_sections(docs: DataFrame) -> DataFrame:
