@@ -9,7 +9,6 @@ import uuid
 import zipfile
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder, as in tests on one machine.
@@ -67,29 +66,11 @@ def tree_sum(df: DataFrame, dtype) -> np.ndarray | None:
     """
     rdd = df.rdd.map(lambda row: np.frombuffer(row[0], dtype))
     parts = max(1, rdd.getNumPartitions())
-    if parts > 8:
-        # pre-add neighbours in one task before anything moves
-        rdd = rdd.coalesce(max(4, parts // 4))
-    def add(it):
-        total = None
-        for a in it:
-            total = a.copy() if total is None else np.add(total, a, out=total)
-        if total is not None:
-            yield total
-    rdd = rdd.mapPartitions(add)
     depth = max(2, math.ceil(math.log(max(2, parts), 24)))
-    zero = None
-    return rdd.treeAggregate(zero, _plus, _plus, depth)
+    return rdd.treeAggregate(None, _plus, _plus, depth)
 
 
 def _plus(a, b):
     if a is None:
         return b
     return a if b is None else a + b
-
-
-def batch_from(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    """Record batch with the columns of ``schema`` taken from ``columns``."""
-    return pa.RecordBatch.from_arrays(
-        [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)
-         for f, c in ((f, columns[f.name]) for f in schema)], schema=schema)
