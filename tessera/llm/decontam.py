@@ -194,7 +194,7 @@ def _item_passages(q: Queries) -> list[Passages]:
     return [Passages(ch, q, ITEM_STRIDE, 0.0) for ch in chunks(text, 1 << 30)]
 
 
-def fit_basis(docs: DataFrame, q: Queries, *, rank: int = RANK, least_mass: float = 0.5, seed: int = 3) -> None:
+def fit_basis(docs: DataFrame, q: Queries, *, rank: int = RANK, least_mass: float = 0.65, seed: int = 3) -> None:
     """Latent basis for a block, by one subspace step over all documents' passages."""
     terms = len(q.terms)
     rank = min(rank, terms)
@@ -250,7 +250,7 @@ def _verified(words: list[bytes], q: Queries, item: int, masks, lo: int, hi: int
 LEAK_DDL = "doc_id long, item_id long, cosine double, lcs_ratio double, answer_ratio double, leaked boolean"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block_items: int = 256, cosine: float = 0.68, least_mass: float = 0.5,
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block_items: int = 256, cosine: float = 0.68, least_mass: float = 0.65,
                rank: int = RANK, sure: float = 0.6, likely: float = 0.5, answer_share: float = 0.6, keep_all: bool = False) -> DataFrame:
     """Pairs doc_id, item_id whose document holds the item or a paraphrase of it.
 
@@ -320,6 +320,6 @@ def _search(sent, cosine, least_mass, sure, likely, answer_share, keep_all):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no benchmark item."""
+    """The documents that hold no benchmark item; rows that share a doc_id, null included, go together."""
     leaked = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leak_id")).distinct()
-    return docs.join(leaked, docs["doc_id"] == leaked["_leak_id"], "left_anti")
+    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["_leak_id"]), "left_anti")
