@@ -34,11 +34,13 @@ from tessera.llm.common import map_arrow, materialise
 
 WINDOW = 13
 ANCHOR = 7
-HOT = 512
+HOT = 4096
 #: Words of the segments behind one suffix automaton, and of a broadcast reference shard.
 SHARD_WORDS = 4096
-#: Anchors or marks (8 bytes each) that may be broadcast; beyond it they are joined.
-BROADCAST_ROWS = 4_000_000
+#: Repeated anchors whose Bloom filter (10 bits each, 32 MB at most) may be broadcast, and
+#: mark codes (8 bytes each) that may be; beyond it they are joined.
+BROADCAST_ANCHORS = 1 << 24
+BROADCAST_MARKS = 500_000
 NO_ID = (1 << 63) - 1
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -169,13 +171,8 @@ def _anchor_batches(batches):
             s = _segments(ch)
             if s is None:
                 continue
-            anchor, begin, _ = s
-            row = ch.word_row[begin]
-            order = np.lexsort((row, anchor))
-            a, r = anchor[order], row[order]
-            keep = np.ones(len(a), bool)
-            keep[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64))], names=["anchor"])
+            # an anchor twice in one text counts twice: a needless candidate, no more
+            yield pa.RecordBatch.from_arrays([pa.array(s[0].view(np.int64))], names=["anchor"])
 
 
 _SEGMENT_DDL = "id long, th long, begin int, anchor long, hot boolean, content string"
@@ -207,20 +204,62 @@ def _single_windows(anchor, begin, count, hot):
     return anchor[rep], begin[rep] + step, np.where(hot, 1, count)[rep], hot[rep]
 
 
-def _segments_by_list(sent):
+_PROBES = 4
+
+
+def _bloom_bits(h: np.ndarray, size: int):
+    """Bit numbers of hashes in a filter of ``size`` bytes, a power of two."""
+    step = (h >> np.uint64(33)) | np.uint64(1)
+    for k in range(_PROBES):
+        yield ((h + np.uint64(k) * step) & np.uint64(8 * size - 1)).astype(np.int64)
+
+
+def _bloom(column: DataFrame, size: int) -> np.ndarray:
+    """Bloom filter of a long column, put together in a tree on the executors."""
+    def fill(batches):
+        bits = np.zeros(size, np.uint8)
+        for b in batches:
+            for at in _bloom_bits(b.column(0).to_numpy().view(np.uint64), size):
+                np.bitwise_or.at(bits, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+    # the column has at most BROADCAST_ANCHORS rows: a few tasks fill few large filters
+    parts = map_arrow(column.coalesce(6), fill, "bits binary").rdd.map(lambda r: np.frombuffer(r[0], np.uint8))
+    found = parts.treeAggregate(None, _either, _either, 2)
+    return np.zeros(size, np.uint8) if found is None else found
+
+
+def _either(a, b):
+    if a is None or b is None:
+        return b if a is None else a
+    return np.bitwise_or(a, b)
+
+
+def _in_bloom(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Flags of the hashes that the filter may hold; few others, none of them missing."""
+    live = np.arange(len(h))
+    for k, at in enumerate(_bloom_bits(h, len(bits))):
+        at = at[live]
+        live = live[bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
+    out = np.zeros(len(h), bool)
+    out[live] = True
+    return out
+
+
+def _segments_by_filter(sent):
     def run(batches):
         known, hot = sent.value
         for b in batches:
             ids = _ids(b.column(0))
             for ch in chunks(b.column(1)):
                 s = _segments(ch)
-                if s is None or not len(known):
+                if s is None:
                     continue
                 anchor, begin, count = s
-                at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-                keep = known[at] == anchor
+                keep = _in_bloom(anchor, known)
                 if keep.any():
-                    yield _emit(ch, ids, *_single_windows(anchor[keep], begin[keep], count[keep], hot[at[keep]]))
+                    anchor, begin, count = anchor[keep], begin[keep], count[keep]
+                    yield _emit(ch, ids, *_single_windows(anchor, begin, count, _in_bloom(anchor, hot)))
     return run
 
 
@@ -295,7 +334,7 @@ def _verdict_batches(batches):
         yield flush()
 
 
-def repeat_marks(docs: DataFrame, *, hot: int = HOT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def repeat_marks(docs: DataFrame, *, hot: int = HOT, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
     """Windows that also start in a smaller doc_id, by id and text hash.
 
     Returns id, th and ``marks``: an array of codes, (first window << 8) | bits of the
@@ -305,12 +344,11 @@ def repeat_marks(docs: DataFrame, *, hot: int = HOT, broadcast_rows: int = BROAD
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     anchors = map_arrow(docs.select("text"), _anchor_batches, "anchor long")
     known = materialise(anchors.groupBy("anchor").count().filter("count > 1").select("anchor", (F.col("count") > hot).alias("hot")), "substring-anchors")
-    if known.count() <= broadcast_rows:
-        got = known.toPandas()
-        a = got["anchor"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(a)
-        sent = sc.broadcast((a[order], got["hot"].to_numpy(bool)[order]))
-        segments = map_arrow(docs, _segments_by_list(sent), _SEGMENT_DDL)
+    n = known.agg(F.count("*").alias("n"), F.count_if("hot").alias("hot")).first()
+    if n["n"] <= broadcast_anchors:
+        size = lambda k: 1 << max(10, (10 * k // 8).bit_length())
+        few = _bloom(known.select("anchor"), size(n["n"])), _bloom(known.filter("hot").select("anchor"), size(n["hot"]))
+        segments = map_arrow(docs, _segments_by_filter(sc.broadcast(few)), _SEGMENT_DDL)
     else:
         places = map_arrow(docs, _place_batches, "id long, th long, begin int, anchor long").join(known, "anchor")
         places = places.groupBy("id", "th").agg(F.collect_set(F.col("begin") * 2 + F.col("hot").cast("int")).alias("places"))
@@ -339,14 +377,14 @@ def _removed(ch: Chunk, r: int, marks) -> np.ndarray:
     return covered(n, starts, WINDOW)
 
 
-def _with_marks(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+def _with_marks(docs: DataFrame, *, broadcast_marks: int = BROADCAST_MARKS, **options) -> DataFrame:
     """``docs`` (doc_id, text and any others, already without clashing names) with marks."""
-    marks = materialise(repeat_marks(docs, broadcast_rows=broadcast_rows, **options), "substring-marks")
+    marks = materialise(repeat_marks(docs, **options), "substring-marks")
     total = marks.agg(F.coalesce(F.sum(F.size("marks") + 2), F.lit(0)).alias("n")).first()["n"]
     marks = marks.select(F.col("id").alias("_mark_id"), F.col("th").alias("_mark_th"), F.col("marks").alias("_marks"))
     # both sides know a text by id and hash; ids alone would mix rows that share one
     listed = marks.groupBy("_mark_id").agg(F.collect_list(F.struct("_mark_th", "_marks")).alias("_marks"))
-    if total <= broadcast_rows:
+    if total <= broadcast_marks:
         listed = F.broadcast(listed)
     return docs.join(listed, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_mark_id"), "left").drop("_mark_id")
 
