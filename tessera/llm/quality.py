@@ -264,6 +264,9 @@ def judge_quality(docs: DataFrame, labels: DataFrame, *, keep_extra: bool = Fals
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
-    """The documents that the rules keep, with their columns."""
+    """The documents that the rules keep, with their columns.
+
+    Rows that share a doc_id, null included, stay if one of them is kept.
+    """
     kept = judge_quality(docs, labels, **fit).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -317,6 +317,9 @@ def fingerprint_hex(column):
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id."""
-    keep = simhash_components(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_kept_id"], "left_semi")
+    """One document of each component stays: the one with the smallest doc_id.
+
+    Rows with that same doc_id stay with it; rows without one only where none has one.
+    """
+    keep = simhash_components(docs, **options).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")

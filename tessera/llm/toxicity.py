@@ -187,4 +187,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score_column(b.column(1), table, bias))], names=["doc_id", "score"])
 
     scored = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
-    return scored.select("doc_id", (~learns()).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(~learns(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -420,17 +420,48 @@ def test_clashing_columns(spark, odd):
         assert df.count() == len(ROWS) and len(set(df.columns)) == len(df.columns)
 
 
+def test_null_ids_stay(spark):
+    """Rows that share a doc_id, null included, stay or go together."""
+    text = " ".join(f"word{i} and" for i in range(40))
+    docs = spark.createDataFrame([(None, text), (None, "#$% " * 400), (3, text + " end"), (4, "#$% " * 400)], DOCS)
+    labels = spark.createDataFrame([(3, 1)], "doc_id long, quality int")
+    kept = [r["doc_id"] for r in quality.drop_rejected(docs, labels).collect()]
+    assert sorted(kept, key=str) == [3, None, None]
+    lone = spark.createDataFrame([(None, text), (5, "quite another text here")], DOCS)
+    assert simhash.drop_near_copies(lone).count() == 2
+    bench = spark.createDataFrame([(1, "nothing of the kind stands here at all today")], "item_id long, text string")
+    assert decontam.drop_leaks(lone, bench).count() == 2
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r["held_out"] for r in toxicity.score_toxicity(lone, none).collect()} <= {True, False}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
+    import sentencepiece
+
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    stage = docs
+    seen = [docs]
     for name, f in p.STAGES[:-1]:
-        before, stage = stage, f(spark, stage, DATA)
-        assert stage.columns == docs.columns, name
-        assert stage.count() <= before.count()
-    rows = texts(before)  # what the last filtering stage saw
-    assert {d for d, _ in texts(stage)} <= {d for d, _ in rows}
-    out = p.run(spark, DATA)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    assert {r["doc_id"] for r in out.collect()} == {d for d, _ in texts(stage)}
+        seen.append(f(spark, seen[-1], DATA).persist())
+        assert seen[-1].columns == docs.columns, name
+    all_rows, good, alone, cut, clean = map(texts, seen)
+    verdicts = by_id(quality.judge_quality(docs, spark.read.parquet(f"{DATA}/labels.parquet")))
+    assert sorted(good) == sorted((d, t) for d, t in all_rows if verdicts[d]["kept"])
+    least = brute.components([d for d, _ in good], [brute.fingerprint(t) for _, t in good])
+    assert sorted(alone) == sorted((d, t) for d, t in good if least[d] == d)
+    want = {d: r for (d, _), r in zip(alone, brute.repeats(alone))}
+    assert {d: brute.sha(b" ".join(t.encode().split())) for d, t in cut} == {d: r[2] for d, r in want.items()}
+    items = [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    gone = {d for d, _ in cut} - {d for d, _ in clean}
+    assert {d for d, t in cut if any(i in t for i in items)} <= gone
+    for d, t in cut:
+        if d in gone:
+            w = decontam._words(t)
+            assert max(brute.lcs(decontam._words(i), w) / len(decontam._words(i)) for i in items) >= 0.5
+    out = by_id(p.run(spark, DATA))
+    assert set(out) == {d for d, _ in clean}
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    for d, t in clean:
+        ids = library.encode(t)
+        assert tuple(out[d]) == (d, len(ids), brute.sha(",".join(map(str, ids)).encode()), brute.sha(library.decode(ids).encode()))
