@@ -61,18 +61,18 @@ def hazard_conflict(a: Column, b: Column, threshold: float = HAZARD_JACCARD) ->
 def hazard_conflicts(thresholds: DataFrame, keys: list[str] = KEYS, threshold: float = HAZARD_JACCARD) -> DataFrame:
     """First conflicting pair of sources (i < j by ord) of each group that has one.
 
-    Sources without hazard statements take no part.  Sources are first reduced to one row
-    per distinct set (its first source and the next one), as pairs of equal sets cannot
-    conflict; so a group's pairs grow with its distinct sets only.
+    Sources without hazard statements take no part.  Sources are first reduced to the
+    first one of each distinct set, as pairs of equal sets cannot conflict and the first
+    pair between two sets is that of their first sources; so a group's pairs grow with
+    its distinct sets only.
     """
     have = thresholds.filter(F.size("hazard_statements") > 0).withColumn("_set", F.array_sort(F.array_distinct("hazard_statements")))
-    sets = have.groupBy(*keys, "_set").agg(F.collect_list(F.struct("ord", "supplier_name")).alias("_who"))
+    sets = have.groupBy(*keys, "_set").agg(F.min(F.struct("ord", "supplier_name")).alias("_who"))
     a, b = sets.alias("a"), sets.alias("b")
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     pairs = a.join(b, [*same, F.col("a._set") < F.col("b._set")])
     conflict, sim = hazard_conflict(F.col("a._set"), F.col("b._set"), threshold)
-    # the first pair between two sets: the least source overall, and the least of the other set after it
-    x, y = F.array_min("a._who"), F.array_min("b._who")
+    x, y = F.col("a._who"), F.col("b._who")
     low, high = F.least(x, y), F.greatest(x, y)
     found = pairs.filter(conflict).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.struct(low.getField("ord").alias("i"), high.getField("ord").alias("j")).alias("_pair"), low.getField("supplier_name").alias("left_supplier"), high.getField("supplier_name").alias("right_supplier"), sim.alias("similarity"))
     first = found.groupBy(*keys).agg(F.min_by(F.struct("_pair", "left_supplier", "right_supplier", "similarity"), F.col("_pair")).alias("f"))
@@ -84,28 +84,43 @@ def reconcile(thresholds: DataFrame, keys: list[str] = KEYS, tolerance: float =
 
     Among the sources of top authority, values that spread over more than ``tolerance``
     percent of the largest magnitude conflict; else the first of them is primary.  Returns
-    the keys, n_sources, n_top, spread_percent, conflict, mixed_units, conflict_sources,
-    superseded (suppliers) and the primary source's columns in ``primary`` (null on conflict).
+    the keys, n_sources, n_top, top_authority, spread_percent, conflict, mixed_units and
+    the primary source's columns in ``primary`` (null on conflict).
+
+    Sources are summed up by authority first, so a group with very many is pre-aggregated.
     """
-    group = W.partitionBy(*keys)
-    top = thresholds.withColumn("_max", F.max("authority_score").over(group)).withColumn("_top", F.col("authority_score") == F.col("_max"))
-    inside = lambda c: F.when(F.col("_top"), c)
     fields = [c for c in thresholds.columns if c not in keys]
-    row = F.struct(*fields)
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("authority_score")).alias("a"), "ord", "supplier_name")))
-    agg = top.groupBy(*keys).agg(
-        F.count("*").alias("n_sources"), F.count(inside(F.lit(1))).alias("n_top"),
-        F.max(inside(F.col("value"))).alias("_hi"), F.min(inside(F.col("value"))).alias("_lo"), F.max(inside(F.abs("value"))).alias("_abs"),
-        F.min_by(inside(row), inside(F.col("ord"))).alias("_primary"),
-        (F.size(F.collect_set(inside(F.lower(F.trim("unit"))))) > 1).alias("mixed_units"),
-        F.array_sort(F.collect_list(inside(F.struct("ord", F.concat(F.col("supplier_name"), F.lit("="), F.col("value").cast("string"), F.col("unit")).alias("t"))))).alias("_named"),
-        ordered.alias("_all"))
-    spread = F.when((F.col("n_top") > 1) & (F.col("_abs") > 0), (F.col("_hi") - F.col("_lo")) / F.when(F.col("_abs") > 0, F.col("_abs")) * 100.0).otherwise(F.lit(0.0))
-    conflict = (F.col("n_top") > 1) & (spread > tolerance)
-    names = F.array_join(F.transform("_named", lambda x: x["t"]), ", ")
-    rest = F.transform(F.filter("_all", lambda x: x["ord"] != F.col("_primary.ord")), lambda x: x["supplier_name"])
-    return agg.select(*keys, "n_sources", "n_top", spread.alias("spread_percent"), conflict.alias("conflict"), "mixed_units",
-                      F.when(conflict, names).alias("conflict_sources"), F.when(~conflict, rest).alias("superseded"), F.when(~conflict, F.col("_primary")).alias("primary"))
+    tiers = thresholds.groupBy(*keys, "authority_score").agg(
+        F.count("*").alias("n"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.max(F.abs("value")).alias("abs"),
+        F.min_by(F.struct(*fields), F.struct("ord", "supplier_name")).alias("first"), (F.count_distinct(F.lower(F.trim("unit"))) > 1).alias("mixed"))
+    top = tiers.groupBy(*keys).agg(F.sum("n").alias("n_sources"), F.max_by(F.struct("n", "hi", "lo", "abs", "first", "mixed", "authority_score"), "authority_score").alias("t"))
+    magnitude = F.col("t.abs")
+    spread = F.when((F.col("t.n") > 1) & (magnitude > 0), (F.col("t.hi") - F.col("t.lo")) / F.when(magnitude > 0, magnitude) * 100.0).otherwise(F.lit(0.0))
+    conflict = (F.col("t.n") > 1) & (spread > tolerance)
+    return top.select(*keys, "n_sources", F.col("t.n").alias("n_top"), F.col("t.authority_score").alias("top_authority"), spread.alias("spread_percent"), conflict.alias("conflict"),
+                      F.col("t.mixed").alias("mixed_units"), F.when(~conflict, F.col("t.first")).alias("primary"))
+
+
+def audit_notes(thresholds: DataFrame, reconciled: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, ord, note): each source's part in the outcome, one row a source.
+
+    Sources are selected, superseded, or, in a conflict, named with their value if they
+    have top authority.
+    """
+    r = reconciled.select(*keys, "top_authority", "conflict", F.col("primary.ord").alias("_ord"))
+    j = thresholds.join(r, keys)
+    score = F.col("authority_score").cast("string")
+    note = (F.when(F.col("conflict") & (F.col("authority_score") == F.col("top_authority")), F.concat(F.lit("Conflict: "), F.col("supplier_name"), F.lit("="), F.col("value").cast("string"), F.col("unit")))
+            .when(~F.col("conflict") & (F.col("ord") == F.col("_ord")), F.concat(F.lit("Selected primary authority '"), F.col("supplier_name"), F.lit("' (score="), score, F.lit(")")))
+            .when(~F.col("conflict"), F.concat(F.lit("Superseded secondary source '"), F.col("supplier_name"), F.lit("' (score="), score, F.lit(")"))))
+    return j.select(*keys, "ord", note.alias("note")).filter("note is not null")
+
+
+def conflict_summary(notes: DataFrame, keys: list[str] = KEYS, most: int = 100) -> DataFrame:
+    """Names of the sources in each conflict, in order, as one text; the first ``most`` of a report."""
+    named = notes.filter(F.col("note").startswith("Conflict: ")).select(*keys, "ord", F.substring("note", 11, 1 << 20).alias("name"))
+    first = named.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("ord"))).filter(F.col("_n") <= most)
+    return first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), ", ").alias("conflict_sources"))
 
 
 def conservative(thresholds: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -90,9 +90,23 @@ def parse_proximity(query: str) -> tuple[str, int, str]:
 
 def idf_table(index: DataFrame, docs: DataFrame) -> DataFrame:
     """(term, df, idf) with idf = ln((1 + n) / (1 + df)) + 1."""
-    n = docs.agg(F.count("*").alias("n"))
+    n = docs.agg(F.count("*").alias("n")).scalar()  # a subquery of one value
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
+    return df.select("term", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def previous_of(rows: DataFrame, group: str, key: str, *, bucket: int = 100_000) -> DataFrame:
+    """(key, previous): for each integer key the one before it in its group, if any.
+
+    Keys are cut into ranges; each range looks back inside itself, and its first row takes
+    the last key of the ranges before it, of which only one row each is kept.
+    """
+    cut = rows.select(group, key, F.floor(F.col(key) / F.lit(bucket)).alias("_range"))
+    inside = cut.withColumn("_inside", F.lag(key).over(W.partitionBy(group, "_range").orderBy(key)))
+    ends = cut.groupBy(group, "_range").agg(F.max(key).alias("_last"))
+    before = ends.select(group, "_range", F.max("_last").over(W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    joined = inside.join(before, [group, "_range"])
+    return joined.select(key, F.coalesce("_inside", "_before").alias("previous")).filter("previous is not null")
 
 
 def _ranked(scores: DataFrame, k: int) -> DataFrame:

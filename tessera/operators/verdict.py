@@ -49,7 +49,7 @@ def evaluate(readings: DataFrame, thresholds: DataFrame, *, tolerance: float = T
     why = (F.when(F.col("cause") == "no_thresholds", "no threshold was retrieved for the chemical")
            .when(F.col("cause") == "no_metric", "no retrieved threshold has the metric")
            .when(F.col("cause") == "hazard_conflict", F.concat(F.lit("hazard statements of "), F.col("left_supplier"), F.lit(" and "), F.col("right_supplier"), F.lit(" conflict")))
-           .when(F.col("cause") == "numeric_conflict", F.concat(F.lit("sources of equal authority diverge: "), F.col("conflict_sources")))
+           .when(F.col("cause") == "numeric_conflict", F.concat(F.col("n_top").cast("string"), F.lit(" sources of equal authority diverge by "), F.format_number("spread_percent", 1), F.lit("%")))
            .when(F.col("cause") == "unit_mismatch", F.concat(F.lit("threshold unit "), p["unit"], F.lit(" cannot be compared with reading unit "), F.coalesce(F.col("unit"), F.lit("none"))))
            .otherwise("the reading has no value"))
     return judged.select(*[F.col(c) for c in readings.columns], "state", "cause", F.when(compared, limit).alias("threshold_value"),

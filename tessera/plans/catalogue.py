@@ -253,8 +253,7 @@ SELECT doc_id, prev_id, CASE WHEN len(s) + len(ps) = 0 THEN 0.0 ELSE len(list_in
 def jaccard_pairs(spark, d):
     """Each document with the one before it in its language."""
     ids = table(spark, d, "documents").select("doc_id", "text", "lang")
-    before = F.lag("doc_id").over(W.partitionBy("lang").orderBy("doc_id"))  # ids only in the window
-    pairs = ids.select("doc_id", "lang").withColumn("prev_id", before).filter("prev_id is not null").select("doc_id", "prev_id")
+    pairs = search.previous_of(ids, "lang", "doc_id").withColumnRenamed("previous", "prev_id")
     sets = ids.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("s"))
     prev = sets.select(F.col("doc_id").alias("prev_id"), F.col("s").alias("ps"))
     return pairs.join(sets, "doc_id").join(prev, "prev_id").select("doc_id", "prev_id", jaccard(F.col("s"), F.col("ps")).alias("similarity"))
@@ -547,8 +546,7 @@ SELECT pr.doc_id AS right_id, pr.prev_id AS left_id, coalesce(l.n, 0) - coalesce
 def shingle_difference(spark, d):
     """Each document against the one before it in its language."""
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    before = F.lag("doc_id").over(W.partitionBy("lang").orderBy("doc_id"))
-    ids = docs.select(F.col("doc_id").alias("right_id"), "lang", before.alias("left_id")).filter("left_id is not null")
+    ids = search.previous_of(docs, "lang", "doc_id").select(F.col("doc_id").alias("right_id"), F.col("previous").alias("left_id"))
     left, right = docs.select(F.col("doc_id").alias("left_id"), F.col("text").alias("left_text")), docs.select(F.col("doc_id").alias("right_id"), F.col("text").alias("right_text"))
     diff = search.shingle_difference(ids.select("left_id", "right_id").join(left, "left_id").join(right, "right_id"))
     return diff.select("right_id", "left_id", F.size("only_left").cast("long").alias("n_only_left"), F.size("only_right").cast("long").alias("n_only_right"))

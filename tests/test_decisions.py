@@ -45,10 +45,20 @@ def test_verdicts(spark):
 def test_reconcile_notes(spark):
     t = spark.createDataFrame([source(0, 30.0, authority=0.85, supplier="B"), source(1, 25.0, supplier="A")], tables.THRESHOLD)
     r = evidence.reconcile(t).first()
-    assert r["primary"]["supplier_name"] == "A" and r["superseded"] == ["B"] and not r["conflict"]
+    assert r["primary"]["supplier_name"] == "A" and not r["conflict"]
+    notes = [n["note"] for n in evidence.audit_notes(t, evidence.reconcile(t)).orderBy("ord").collect()]
+    assert notes == ["Superseded secondary source 'B' (score=0.85)", "Selected primary authority 'A' (score=1.0)"]
     t = spark.createDataFrame([source(0, 25.0), source(1, 100.0)], tables.THRESHOLD)
     r = evidence.reconcile(t).first()
-    assert r["conflict"] and r["primary"] is None and r["conflict_sources"] == "S0=25.0C, S1=100.0C" and r["spread_percent"] == 75.0
+    assert r["conflict"] and r["primary"] is None and r["spread_percent"] == 75.0
+    named = evidence.conflict_summary(evidence.audit_notes(t, evidence.reconcile(t)))
+    assert named.first()["conflict_sources"] == "S0=25.0C, S1=100.0C"
+
+
+def test_previous_over_ranges(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 5), ("a", 17), ("b", 16), ("a", 40), ("b", 99)], "g string, k long")
+    got = {r["k"]: r["previous"] for r in search.previous_of(rows, "g", "k", bucket=10).collect()}
+    assert got == {5: 1, 17: 5, 40: 17, 99: 16}
 
 
 def test_first_hazard_pair(spark):
