@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.bytesops import SPACE, chunks
-from tessera.llm.common import map_arrow
+from tessera.llm.common import map_arrow, materialise, tree_sum
 
 GRAMS = (4, 5, 7)
 BITS = 21
@@ -66,21 +66,28 @@ def _inside(starts: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return row, ok & (at + n <= starts[row + 1] + 1)
 
 
-def _feature_batches(batches):
+def _row_buckets(column):
+    """Each text's distinct buckets, sorted."""
+    for ch in chunks(column):
+        it = _grams(ch)
+        starts = next(it)
+        found = []
+        for n, g in it:
+            row, ok = _inside(starts, np.arange(len(g)), n)
+            found.append((row[ok].astype(np.int64) << BITS) | g[ok])
+        keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        cut = np.searchsorted(keys, np.arange(ch.rows + 1) << BITS)
+        for x, y in zip(cut, cut[1:]):
+            yield keys[x:y] & ((1 << BITS) - 1)
+
+
+def _count_batches(batches):
+    """Numbers of other and of toxic texts that have each bucket."""
+    total = np.zeros((2, 1 << BITS), np.int32)
     for b in batches:
-        rows = []
-        for ch in chunks(b.column(1)):
-            it = _grams(ch)
-            starts = next(it)
-            found = []
-            for n, g in it:
-                at = np.arange(len(g))
-                row, ok = _inside(starts, at, n)
-                found.append((row[ok].astype(np.int64) << BITS) | g[ok])
-            keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-            cut = np.searchsorted(keys, np.arange(ch.rows + 1) << BITS)
-            rows += [(keys[x:y] & ((1 << BITS) - 1)).astype("<u4").tobytes() for x, y in zip(cut, cut[1:])]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["toxic", "grams"])
+        for toxic, buckets in zip(b.column(0).to_pylist(), _row_buckets(b.column(1))):
+            total[toxic, buckets] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
 
 @dataclass
@@ -95,35 +102,27 @@ class ToxicModel:
         return out
 
 
-def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, *, least_count: int = 4, least_ratio: float = 1.0,
-             alpha: float = 1.0, ridge: float = 2e-4, steps: int = 300) -> ToxicModel:
-    """Classifier from each text's distinct buckets and its label."""
-    share = float(toxic.mean()) if len(toxic) else 0.0
-    if len(toxic) == 0 or share in (0.0, 1.0):
-        bias = -30.0 if share == 0 else 30.0
-        return ToxicModel(np.zeros(0, np.int64), np.zeros(0, np.float32), bias)
-    size = 1 << BITS
-    pos, neg = np.zeros(size), np.zeros(size)
-    for r, t in zip(rows, toxic):
-        (pos if t else neg)[r] += 1
+def choose_features(pos: np.ndarray, neg: np.ndarray, *, least_count: int = 4, least_ratio: float = 1.0, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets whose log-count ratio tells the kinds apart, and these ratios."""
     ratio = np.log(((pos + alpha) / (pos + alpha).sum()) / ((neg + alpha) / (neg + alpha).sum()))
-    # present in toxic texts beyond chance, or in others
     chosen = np.flatnonzero((pos + neg >= least_count) & (np.abs(ratio) >= least_ratio))
+    return chosen, ratio[chosen]
+
+
+def fit_columns(columns: list[np.ndarray], toxic: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, *, ridge: float = 2e-4, steps: int = 300) -> ToxicModel:
+    """Logistic regression from each text's chosen features (places in ``chosen``)."""
+    share = float(toxic.mean()) if len(toxic) else 0.0
+    if share in (0.0, 1.0):
+        return ToxicModel(np.zeros(0, np.int64), np.zeros(0, np.float32), -30.0 if share == 0 else 30.0)
+    prior = float(np.log(share / (1 - share)))
     if not len(chosen):
-        return ToxicModel(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(share / (1 - share))))
-    place = np.full(size, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    cols, owner = [], []
-    for i, r in enumerate(rows):
-        c = place[r]
-        c = c[c >= 0]
-        cols.append(c)
-        owner.append(np.full(len(c), i))
-    cols, owner = np.concatenate(cols), np.concatenate(owner)
-    scaled = ratio[chosen][cols]
+        return ToxicModel(np.zeros(0, np.int64), np.zeros(0, np.float32), prior)
+    owner = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+    cols = np.concatenate(columns)
+    scaled = ratio[cols]
     y = toxic.astype(float)
     # both kinds weigh as in the sample; momentum descent on the regularised log loss
-    w, b = np.zeros(len(chosen)), float(np.log(share / (1 - share)))
+    w, b = np.zeros(len(chosen)), prior
     vw, vb, n = np.zeros_like(w), 0.0, len(y)
     sw, sb = np.full_like(w, 1e-8), 1e-8
     for step in range(steps):
@@ -136,7 +135,7 @@ def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, *, least_count: int = 4,
         c1, c2 = 1 - 0.9 ** (step + 1), 1 - 0.99 ** (step + 1)
         w -= 0.05 * (vw / c1) / (np.sqrt(sw / c2) + 1e-8)
         b -= 0.05 * (vb / c1) / (np.sqrt(sb / c2) + 1e-8)
-    weights = w * ratio[chosen]
+    weights = w * ratio
     keep = np.abs(weights) > 0.02 * np.abs(weights).max()
     return ToxicModel(chosen[keep], weights[keep].astype(np.float32), b)
 
@@ -152,10 +151,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, m
     order = F.xxhash64("doc_id", F.lit(seed))
     picked = known.filter("toxic = 1").orderBy(order, "doc_id").limit(max_toxic).union(known.filter("toxic = 0").orderBy(order, "doc_id").limit(max_other))
     # at most max_toxic + max_other ids are broadcast
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text", "doc_id")
-    got = map_arrow(texts.select("toxic", "text"), _feature_batches, "toxic int, grams binary").toPandas()
-    rows = [np.frombuffer(g, "<u4") for g in got["grams"]]
-    return fit_rows(rows, got["toxic"].to_numpy(int) == 1)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
+    texts = materialise(texts, "toxicity-sample")
+    counts = tree_sum(map_arrow(texts.coalesce(8), _count_batches, "counts binary"), np.int32)
+    counts = (np.zeros(2 << BITS, np.int32) if counts is None else counts).reshape(2, -1)
+    chosen, ratio = choose_features(counts[1], counts[0])
+    sent = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    def columns(batches):
+        place = np.full(1 << BITS, -1, np.int32)
+        place[sent.value] = np.arange(len(sent.value))
+        for b in batches:
+            rows = [place[r] for r in _row_buckets(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[r >= 0].tobytes() for r in rows], pa.binary())], names=["toxic", "places"])
+
+    # a bounded number of rows, each with its chosen features only
+    got = map_arrow(texts, columns, "toxic int, places binary").toPandas()
+    return fit_columns([np.frombuffer(p, np.int32) for p in got["places"]], got["toxic"].to_numpy(int) == 1, chosen, ratio)
 
 
 def score_column(column, table: np.ndarray, bias: float) -> np.ndarray:

@@ -289,9 +289,12 @@ def test_toxicity_edges(spark, odd):
 
 def test_toxicity_scores_equal_plain_sums():
     rows = ["you idiot", "nice day", "an IDIOT here", "good day to you", "idiot!", "fine day"] * 5
-    feats = [np.frombuffer(x, "<u4") for b in toxicity._feature_batches([pa.RecordBatch.from_arrays([pa.array([0] * len(rows)), pa.array(rows)], names=["a", "b"])]) for x in b.column(1).to_pylist()]
+    feats = list(toxicity._row_buckets(pa.array(rows)))
     y = np.array(["idiot" in r.lower() for r in rows])
-    m = toxicity.fit_rows(feats, y, least_count=1)
+    pos, neg = (np.bincount(np.concatenate([f for f, t in zip(feats, y) if t == kind]), minlength=1 << toxicity.BITS) for kind in (True, False))
+    chosen, ratio = toxicity.choose_features(pos, neg, least_count=1)
+    place = {b: i for i, b in enumerate(chosen.tolist())}
+    m = toxicity.fit_columns([np.array([place[b] for b in f.tolist() if b in place], int) for f in feats], y, chosen, ratio)
     table = m.table()
     want = [1 / (1 + np.exp(-(m.bias + table[f].sum()))) for f in feats]
     assert np.allclose(toxicity.score_column(pa.array(rows), table, m.bias), want, atol=1e-5)
