@@ -59,7 +59,6 @@ STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "i
 
 def stem(c: Column) -> Column:
     """Selective suffix stemmer: never below three letters, never a protected word."""
-    out = F.lit(None).cast("string")
     branches = None
     for suffix in SUFFIXES:
         ok = c.endswith(suffix) & (F.length(c) >= len(suffix) + 3)

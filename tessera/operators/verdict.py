@@ -92,3 +92,25 @@ def evidence(names: DataFrame, thresholds: DataFrame) -> DataFrame:
     asked = names.select("chemical").distinct().withColumn("_key", normalised(F.col("chemical")))
     t = thresholds.select(normalised(F.col("chemical")).alias("_key"), F.col("metric_name").alias("parameter"), "value", "unit", F.col("sds_id").alias("source_doc_id"), F.col("citation").alias("version"))
     return asked.join(t, "_key", "left").drop("_key").withColumn("state", F.lit(UNKNOWN))
+
+
+def narrate(verdicts: DataFrame) -> DataFrame:
+    """Add the plain explanation of a verdict that needs no language service."""
+    # fixed values: the fallback texts here and below
+    return verdicts.withColumn("explanation", F.concat(F.lit("FALLBACK: The safety state is "), F.col("state"), F.lit(". "), F.col("reasoning")))
+
+
+def safety_card(verdicts: DataFrame, reply: Column | None = None) -> DataFrame:
+    """Card fields of each verdict, from a translation service's JSON reply where it has them.
+
+    A reply that is missing or no JSON object leaves the fallback; single fields that it
+    lacks are filled from the fallback.  The state is always the verdict's own.
+    """
+    said = F.from_json(reply if reply is not None else F.lit(None).cast("string"), "map<string,string>", {"mode": "PERMISSIVE"})
+    fallback = {
+        "chemical_name": F.col("chemical"),
+        "reasoning": F.concat(F.lit("[Translation Unavailable] "), F.col("reasoning")),
+        "citation": F.coalesce(F.col("provenance.citation"), F.lit("N/A")),
+    }
+    fields = [F.coalesce(F.try_element_at(said, F.lit(k)), v).alias(k) for k, v in fallback.items()]
+    return verdicts.select(*[c for c in verdicts.columns if c not in ("reasoning", "provenance", "chemical_name", "citation")], *fields)

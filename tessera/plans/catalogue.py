@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tessera.functions.text import jaccard, kgrams, sound_code, tokens
+from tessera.functions.text import jaccard, sound_code, tokens
 from tessera.operators import chat, evidence, metrics, mining, retrieval, search, severity, verdict
 from tessera.sources import tables
 from tessera.sources.tables import table

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.text import cas_valid, domain_tokens, jaccard, stem
+from tessera.functions.text import domain_tokens, jaccard, stem
 from tessera.operators import chat, evidence, metrics, mining, search, severity, verdict
 from tessera.sources import tables
 from tessera.streaming import monitor
@@ -183,3 +183,14 @@ def test_versions(spark):
     rows = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 20.0), ("b", 1, 5.0)], "k string, d int, v double")
     got = {r["k"]: (r["v"], r["n_versions"], r["version_conflict"]) for r in evidence.current_versions(rows, ["k"], "d", "v", ["v"]).collect()}
     assert got == {"a": (20.0, 2, True), "b": (5.0, 1, False)}
+
+
+def test_cards_keep_the_state(spark):
+    t = spark.createDataFrame([source(0, 25.0)], tables.THRESHOLD)
+    r = spark.createDataFrame([(1, "X", "Z", "m", 30.0, "C", '{"state": "SAFE", "reasoning": "R"}'), (2, "X", "Z", "m", 30.0, "C", "[1]"), (3, "Y", "Z", "m", 1.0, "C", None)],
+                              "event_id long, chemical string, zone_id string, metric_name string, current_value double, unit string, reply string")
+    v = verdict.evaluate(r, t)
+    cards = {c["event_id"]: c for c in verdict.safety_card(v, F.col("reply")).collect()}
+    assert cards[1]["state"] == "WARNING" and cards[1]["reasoning"] == "R" and cards[1]["citation"] == "cite 0"
+    assert cards[2]["reasoning"].startswith("[Translation Unavailable] WARNING") and cards[3]["citation"] == "N/A" and cards[3]["state"] == "UNKNOWN"
+    assert verdict.narrate(v).filter("event_id = 1").first()["explanation"].startswith("FALLBACK: The safety state is WARNING. WARNING:")
