@@ -266,7 +266,20 @@ def judge_quality(docs: DataFrame, labels: DataFrame, *, keep_extra: bool = Fals
 def drop_rejected(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     """The documents that the rules keep, with their columns.
 
-    Rows that share a doc_id, null included, stay if one of them is kept.
+    Each row is judged by its own text where it is read, so no text is shuffled; its
+    doc_id, null or shared, doesn't matter.
     """
-    kept = judge_quality(docs, labels, **fit).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    model = fit_quality(materialise(statistics(docs), "quality-stats"), labels, **fit)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        for b in batches:
+            s = count_statistics(b.column(at))
+            n = s["n_words"]
+            ok = (n >= MIN_WORDS) & (100 * s["n_repeat_words"] <= MAX_REPEAT_PERCENT * n)
+            if sent.value.forest is not None and b.num_rows:
+                ok &= sent.value.forest.score(features(s)) < sent.value.threshold
+            yield b.filter(pa.array(ok))
+
+    return map_arrow(docs, keep, docs.schema)
