@@ -37,10 +37,9 @@ ANCHOR = 7
 HOT = 4096
 #: Words of the segments behind one suffix automaton, and of a broadcast reference shard.
 SHARD_WORDS = 4096
-#: Repeated anchors whose Bloom filter (10 bits each, 32 MB at most) may be broadcast, and
-#: mark codes (8 bytes each) that may be; beyond it they are joined.
+#: Repeated anchors whose Bloom filter (10 bits each, 32 MB at most) may be broadcast;
+#: beyond it they are joined.
 BROADCAST_ANCHORS = 1 << 24
-BROADCAST_MARKS = 500_000
 NO_ID = (1 << 63) - 1
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -377,15 +376,12 @@ def _removed(ch: Chunk, r: int, marks) -> np.ndarray:
     return covered(n, starts, WINDOW)
 
 
-def _with_marks(docs: DataFrame, *, broadcast_marks: int = BROADCAST_MARKS, **options) -> DataFrame:
+def _with_marks(docs: DataFrame, **options) -> DataFrame:
     """``docs`` (doc_id, text and any others, already without clashing names) with marks."""
     marks = materialise(repeat_marks(docs, **options), "substring-marks")
-    total = marks.agg(F.coalesce(F.sum(F.size("marks") + 2), F.lit(0)).alias("n")).first()["n"]
     marks = marks.select(F.col("id").alias("_mark_id"), F.col("th").alias("_mark_th"), F.col("marks").alias("_marks"))
     # both sides know a text by id and hash; ids alone would mix rows that share one
     listed = marks.groupBy("_mark_id").agg(F.collect_list(F.struct("_mark_th", "_marks")).alias("_marks"))
-    if total <= broadcast_marks:
-        listed = F.broadcast(listed)
     return docs.join(listed, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_mark_id"), "left").drop("_mark_id")
 
 
