@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.bytesops import Chunk, chunks, covered, texts_of
-from tessera.llm.common import map_arrow, materialise
+from tessera.llm.common import discard, map_arrow, materialise
 
 WINDOW = 13
 ANCHOR = 7
@@ -342,7 +342,7 @@ def repeat_marks(docs: DataFrame, *, hot: int = HOT, broadcast_anchors: int = BR
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     anchors = map_arrow(docs.select("text"), _anchor_batches, "anchor long")
-    known = materialise(anchors.groupBy("anchor").count().filter("count > 1").select("anchor", (F.col("count") > hot).alias("hot")), "substring-anchors")
+    known = materialise(anchors.groupBy("anchor").count().filter("count > 1").select("anchor", (F.col("count") > hot).alias("hot")), "substring-anchors", free=True)
     n = known.agg(F.count("*").alias("n"), F.count_if("hot").alias("hot")).first()
     if n["n"] <= broadcast_anchors:
         size = lambda k: 1 << max(10, (10 * k // 8).bit_length())
@@ -357,14 +357,18 @@ def repeat_marks(docs: DataFrame, *, hot: int = HOT, broadcast_anchors: int = BR
     segments = materialise(segments.select(
         "id", "th", "begin", F.xxhash64("anchor", "content").alias("chash"), "content",
         # a hot anchor's windows are dealt out by their own words
-        F.when(F.col("hot"), F.xxhash64("content")).otherwise(F.col("anchor")).alias("route")), "substring-segments")
+        F.when(F.col("hot"), F.xxhash64("content")).otherwise(F.col("anchor")).alias("route")), "substring-segments", free=True)
+    discard(known)
     distinct = segments.groupBy("route", "chash", "content").agg(F.min("id").alias("first"))
     dealt = distinct.repartition("route").sortWithinPartitions("route").select("route", "chash", "content", "first")
     verdicts = map_arrow(dealt, _verdict_batches, "chash long, least array<long>")
     # get() is null beyond the segment's last window, which counts as no
     bits = sum((F.when(F.get("least", F.lit(k)) < F.col("id"), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(WINDOW - ANCHOR + 1)), F.lit(0))
     marked = segments.select("id", "th", "begin", "chash").join(verdicts, "chash").withColumn("bits", bits).filter("bits > 0")
-    return marked.groupBy("id", "th").agg(F.collect_list(F.col("begin").cast("long") * 256 + F.col("bits")).alias("marks"))
+    marks = marked.groupBy("id", "th").agg(F.collect_list(F.col("begin").cast("long") * 256 + F.col("bits")).alias("marks"))
+    marks = materialise(marks, "substring-marks", free=True)
+    discard(segments)
+    return marks
 
 
 def _removed(ch: Chunk, r: int, marks) -> np.ndarray:
@@ -378,7 +382,7 @@ def _removed(ch: Chunk, r: int, marks) -> np.ndarray:
 
 def _with_marks(docs: DataFrame, **options) -> DataFrame:
     """``docs`` (doc_id, text and any others, already without clashing names) with marks."""
-    marks = materialise(repeat_marks(docs, **options), "substring-marks")
+    marks = repeat_marks(docs, **options)
     marks = marks.select(F.col("id").alias("_mark_id"), F.col("th").alias("_mark_th"), F.col("marks").alias("_marks"))
     # both sides know a text by id and hash; ids alone would mix rows that share one
     listed = marks.groupBy("_mark_id").agg(F.collect_list(F.struct("_mark_th", "_marks")).alias("_marks"))
