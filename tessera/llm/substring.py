@@ -161,7 +161,8 @@ def _segments(ch: Chunk) -> tuple[np.ndarray, ...] | None:
 
 
 def _text_hash(ch: Chunk) -> np.ndarray:
-    return ch.span_hash(ch.off[:-1], ch.off[1:]).view(np.int64)
+    """24 bits of each text's hash: tells apart the few rows that share a doc_id."""
+    return (ch.span_hash(ch.off[:-1], ch.off[1:]) & np.uint64(0xFFFFFF)).view(np.int64)
 
 
 def _anchor_batches(batches):
