@@ -7,10 +7,11 @@ with the item, and the item's answer, decide.
 
 * Inverse document frequencies come from hashed term counts over all documents.
 * Columns of the matrix are the terms of the benchmark: other terms cannot add to a dot
-  product with an item.  They do count in a passage's norm, so a passage whose benchmark
-  terms hold less than ``least_mass`` of its norm cannot have a cosine above it and is
-  passed over without loss.
-* Range finder: with A the rows of all remaining passages of all documents, and of the
+  product with an item.  Passages without any benchmark term are zero there and are passed over;
+  no other passage is, as its direction in the latent space may be an item's however
+  little of its norm the benchmark terms hold (a paraphrase in rare words).
+* Range finder: with A the rows of the passages of all documents whose benchmark terms
+  hold ``fit_mass`` of their norm (the basis fits those best; all are searched), and of the
   benchmark weighted to equal energy, the basis is the orthonormalised (A'A)W of a random
   start W, one product of which is summed over the executors in a tree.
 * The benchmark is a stated query set: it is taken in blocks of ``block_items``, each with
@@ -130,7 +131,7 @@ def make_queries(rows: list[tuple[int, str, str | None]], counts: np.ndarray) ->
 class Passages:
     """Passages of a chunk: word numbers among the block's terms, weights, norms."""
 
-    def __init__(self, ch: Chunk, q: Queries, stride: int, least_mass: float):
+    def __init__(self, ch: Chunk, q: Queries, stride: int, least_mass: float = 0.0):
         h = ch.word_hash()
         w = q.idf[h >> np.uint64(64 - COUNT_BITS)]
         at = np.minimum(np.searchsorted(q.terms, h), len(q.terms) - 1)
@@ -191,10 +192,10 @@ def _product(p: Passages, start: np.ndarray, into: np.ndarray) -> None:
 
 def _item_passages(q: Queries) -> list[Passages]:
     text = pa.array([b" ".join(w).decode("utf-8", "surrogateescape") for w in q.words])
-    return [Passages(ch, q, ITEM_STRIDE, 0.0) for ch in chunks(text, 1 << 30)]
+    return [Passages(ch, q, ITEM_STRIDE) for ch in chunks(text, 1 << 30)]
 
 
-def fit_basis(docs: DataFrame, q: Queries, *, rank: int = RANK, least_mass: float = 0.65, seed: int = 3) -> None:
+def fit_basis(docs: DataFrame, q: Queries, *, rank: int = RANK, fit_mass: float = 0.65, seed: int = 3) -> None:
     """Latent basis for a block, by one subspace step over all documents' passages."""
     terms = len(q.terms)
     rank = min(rank, terms)
@@ -207,7 +208,7 @@ def fit_basis(docs: DataFrame, q: Queries, *, rank: int = RANK, least_mass: floa
         total = np.zeros((len(query.terms), begin.shape[1]), np.float32)
         for b in batches:
             for ch in chunks(_folded(b.column(0))):
-                _product(Passages(ch, query, PASSAGE, least_mass), begin, total)
+                _product(Passages(ch, query, PASSAGE, fit_mass), begin, total)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["g"])
 
     found = tree_sum(map_arrow(docs.select("text"), product, "g binary"), np.float32)
@@ -225,9 +226,9 @@ def fit_basis(docs: DataFrame, q: Queries, *, rank: int = RANK, least_mass: floa
     sent.unpersist()
 
 
-def _candidates(ch: Chunk, q: Queries, least_mass: float, cosine: float):
+def _candidates(ch: Chunk, q: Queries, cosine: float):
     """(row, item, first word, end word, cosine) of passages near an item's."""
-    p = Passages(ch, q, STRIDE, least_mass)
+    p = Passages(ch, q, STRIDE)
     for lo in range(0, len(p), _PART):
         hi = min(len(p), lo + _PART)
         z = p.times(q.basis, lo, hi)
@@ -250,7 +251,7 @@ def _verified(words: list[bytes], q: Queries, item: int, masks, lo: int, hi: int
 LEAK_DDL = "doc_id long, item_id long, cosine double, lcs_ratio double, answer_ratio double, leaked boolean"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block_items: int = 256, cosine: float = 0.68, least_mass: float = 0.65,
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block_items: int = 256, cosine: float = 0.68,
                rank: int = RANK, sure: float = 0.6, likely: float = 0.5, answer_share: float = 0.6, keep_all: bool = False) -> DataFrame:
     """Pairs doc_id, item_id whose document holds the item or a paraphrase of it.
 
@@ -275,14 +276,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block_items: int = 256,
         q = make_queries([(r["item_id"], r["text"], r["answer"]) for r in got], counts)
         if q is None:
             continue
-        fit_basis(docs, q, rank=rank, least_mass=least_mass)
+        fit_basis(docs, q, rank=rank)
         sent = spark.sparkContext.broadcast(q)
-        found = map_arrow(docs, _search(sent, cosine, least_mass, sure, likely, answer_share, keep_all), LEAK_DDL)
+        found = map_arrow(docs, _search(sent, cosine, sure, likely, answer_share, keep_all), LEAK_DDL)
         result = found if block == 0 else result.unionByName(found)
     return result
 
 
-def _search(sent, cosine, least_mass, sure, likely, answer_share, keep_all):
+def _search(sent, cosine, sure, likely, answer_share, keep_all):
     def run(batches):
         q = sent.value
         masks = [bit_masks(w) for w in q.words]
@@ -291,7 +292,7 @@ def _search(sent, cosine, least_mass, sure, likely, answer_share, keep_all):
             out = ([], [], [], [], [], [])
             for ch in chunks(_folded(b.column(1))):
                 spots: dict[tuple[int, int], list] = {}
-                for found in _candidates(ch, q, least_mass, cosine):
+                for found in _candidates(ch, q, cosine):
                     for r, item, lo, hi, sim in zip(*(x.tolist() for x in found)):
                         spots.setdefault((r, item), []).append((lo - int(ch.first[r]), hi - int(ch.first[r]), sim))
                 text = ch.buf.tobytes() if spots else b""

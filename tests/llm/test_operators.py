@@ -367,6 +367,25 @@ def test_leaks(spark):
     assert decontam.drop_leaks(docs, bench).count() == len(rows) - len(want)
 
 
+def test_leaks_in_rare_words(spark):
+    """Short items of common words, 30 to 50 % of them replaced by words seen nowhere else."""
+    rng = random.Random(11)
+    common = [f"w{i}" for i in range(60)]
+    fill = lambda n: [f"f{rng.randrange(3000)}" for _ in range(n)]
+    items = [(i, " ".join(rng.sample(common, 16))) for i in range(6)]
+    rows = [(1000 + d, " ".join(x for _ in range(12) for x in (rng.choice(common), *fill(11)))) for d in range(400)]
+    want = set()
+    for d in range(60):
+        i, gone = d % 6, 5 + d % 4
+        w = items[i][1].split()
+        for k in rng.sample(range(16), gone):
+            w[k] = f"rare{d}x{k}"
+        rows.append((d, " ".join([*fill(16), *w, *fill(24)])))
+        want.add((d, i))
+    got = decontam.find_leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"), answer_share=0.0)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 def test_common_subsequence():
     random.seed(8)
     for _ in range(100):
