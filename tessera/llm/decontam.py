@@ -258,7 +258,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block_items: int = 256,
     A candidate is a leak if its longest common subsequence spans at least ``sure`` of
     the item's words, or at least ``likely`` of them with ``answer_share`` of the words of
     the answer (column ``answer`` of the benchmark if there is one, else the item's last
-    sentence) close by.  ``keep_all`` also returns the candidates that are not.
+    sentence) close by.  Each region of a document is judged by itself; the ratios are
+    those of the best one, a leak before others.  ``keep_all`` also returns the candidates
+    that are not.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -300,7 +302,7 @@ def _search(sent, cosine, sure, likely, answer_share, keep_all):
                 for (r, item), places in sorted(spots.items()):
                     if r != last:
                         last, words = r, text[ch.off[r]:ch.off[r + 1]].split()
-                    best = (0.0, 0.0)
+                    best = (False, 0.0, 0.0)
                     sim = max(s for _, _, s in places)
                     # overlapping places are one region
                     places.sort()
@@ -310,11 +312,12 @@ def _search(sent, cosine, sure, likely, answer_share, keep_all):
                         if x <= hi and y - lo <= 2 * size + PASSAGE:
                             hi = max(hi, y)
                             continue
-                        best = max(best, _verified(words, q, item, masks[item], lo, hi))
+                        ratio, share = _verified(words, q, item, masks[item], lo, hi)
+                        best = max(best, (ratio >= sure or ratio >= likely and share >= answer_share, ratio, share))
                         lo, hi = x, y
-                    leaked = best[0] >= sure or best[0] >= likely and best[1] >= answer_share
+                    leaked, ratio, share = best
                     if leaked or keep_all:
-                        for column, value in zip(out, (ids[ch.lo + r], q.ids[item], sim, *best, leaked)):
+                        for column, value in zip(out, (ids[ch.lo + r], q.ids[item], sim, ratio, share, leaked)):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(x, pa.float64()) for x in out[2:5]), pa.array(out[5], pa.bool_())], names=["doc_id", "item_id", "cosine", "lcs_ratio", "answer_ratio", "leaked"])
     return run

@@ -386,6 +386,16 @@ def test_leaks_in_rare_words(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
+def test_leak_in_second_best_region(spark):
+    """The longest match has no answer; a shorter one elsewhere has the whole of it."""
+    w = [f"q{i}" for i in range(40)]
+    fill = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    rows = [(1, " ".join([*fill("a", 96), *w[:23], *fill("b", 161), *w[:16], *w[35:], *fill("c", 96)])), (2, " ".join([*fill("d", 96), *w[:23], *fill("e", 96)]))]
+    bench = spark.createDataFrame([(7, " ".join(w), " ".join(w[35:]))], "item_id long, text string, answer string")
+    got = [(r["doc_id"], r["lcs_ratio"], r["answer_ratio"]) for r in decontam.find_leaks(spark.createDataFrame(rows, DOCS), bench).collect()]
+    assert got == [(1, 21 / 40, 1.0)]
+
+
 def test_common_subsequence():
     random.seed(8)
     for _ in range(100):
