@@ -160,11 +160,6 @@ def _segments(ch: Chunk) -> tuple[np.ndarray, ...] | None:
     return least[begin], i[begin], count
 
 
-def _text_hash(ch: Chunk) -> np.ndarray:
-    """24 bits of each text's hash: tells apart the few rows that share a doc_id."""
-    return (ch.span_hash(ch.off[:-1], ch.off[1:]) & np.uint64(0xFFFFFF)).view(np.int64)
-
-
 def _anchor_batches(batches):
     for b in batches:
         for ch in chunks(b.column(0)):
@@ -183,14 +178,14 @@ def _ids(column) -> np.ndarray:
     return column.fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
-def _emit(ch: Chunk, ids: np.ndarray, anchor, begin, count, hot) -> pa.RecordBatch:
+def _emit(ch: Chunk, ids: np.ndarray, th: np.ndarray, anchor, begin, count, hot) -> pa.RecordBatch:
     words = ch.word_row
     row = words[begin]
     text = ch.buf.tobytes()
     start, end = ch.start, ch.end
     content = [b" ".join(text[start[b]:end[b + c + WINDOW - 2]].split()).decode("utf-8", "surrogateescape") for b, c in zip(begin, count)]
     return pa.RecordBatch.from_arrays([
-        pa.array(ids[ch.lo:ch.hi][row]), pa.array(_text_hash(ch)[row]), pa.array((begin - ch.first[row]).astype(np.int32)),
+        pa.array(ids[ch.lo:ch.hi][row]), pa.array(th[ch.lo:ch.hi][row]), pa.array((begin - ch.first[row]).astype(np.int32)),
         pa.array(anchor.view(np.int64)), pa.array(hot), pa.array(content, pa.string())], names=_SEGMENT_NAMES)
 
 
@@ -250,7 +245,7 @@ def _segments_by_filter(sent):
     def run(batches):
         known, hot = sent.value
         for b in batches:
-            ids = _ids(b.column(0))
+            ids, th = _ids(b.column(0)), b.column(2).to_numpy()
             for ch in chunks(b.column(1)):
                 s = _segments(ch)
                 if s is None:
@@ -259,14 +254,14 @@ def _segments_by_filter(sent):
                 keep = _in_bloom(anchor, known)
                 if keep.any():
                     anchor, begin, count = anchor[keep], begin[keep], count[keep]
-                    yield _emit(ch, ids, *_single_windows(anchor, begin, count, _in_bloom(anchor, hot)))
+                    yield _emit(ch, ids, th, *_single_windows(anchor, begin, count, _in_bloom(anchor, hot)))
     return run
 
 
 def _place_batches(batches):
     """Places of all segments, without their words: for the join with repeated anchors."""
     for b in batches:
-        ids = _ids(b.column(0))
+        ids, th = _ids(b.column(0)), b.column(2).to_numpy()
         for ch in chunks(b.column(1)):
             s = _segments(ch)
             if s is None:
@@ -274,18 +269,12 @@ def _place_batches(batches):
             anchor, begin, count = s
             row = ch.word_row[begin]
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids[ch.lo:ch.hi][row]), pa.array(_text_hash(ch)[row]), pa.array((begin - ch.first[row]).astype(np.int32)), pa.array(anchor.view(np.int64))], names=["id", "th", "begin", "anchor"])
-
-
-def _hash_batches(batches):
-    for b in batches:
-        th = [_text_hash(ch) for ch in chunks(b.column(1))]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(th) if th else np.zeros(0, np.int64))], names=[*b.schema.names, "th"])
+                pa.array(ids[ch.lo:ch.hi][row]), pa.array(th[ch.lo:ch.hi][row]), pa.array((begin - ch.first[row]).astype(np.int32)), pa.array(anchor.view(np.int64))], names=["id", "th", "begin", "anchor"])
 
 
 def _segments_by_places(batches):
     for b in batches:
-        ids = _ids(b.column(0))
+        ids, th = _ids(b.column(0)), b.column(2).to_numpy()
         places = b.column(3)
         for ch in chunks(b.column(1)):
             s = _segments(ch)
@@ -304,7 +293,7 @@ def _segments_by_places(batches):
                     keep[mine] = True
                     hot[mine] = (codes & 1).astype(bool)
             if keep.any():
-                yield _emit(ch, ids, *_single_windows(anchor[keep], begin[keep], count[keep], hot[keep]))
+                yield _emit(ch, ids, th, *_single_windows(anchor[keep], begin[keep], count[keep], hot[keep]))
 
 
 def _verdict_batches(batches):
@@ -341,7 +330,8 @@ def repeat_marks(docs: DataFrame, *, hot: int = HOT, broadcast_anchors: int = BR
     windows from there on that go.
     """
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # all 64 bits: many different texts may share an id, null above all
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     anchors = map_arrow(docs.select("text"), _anchor_batches, "anchor long")
     known = materialise(anchors.groupBy("anchor").count().filter("count > 1").select("anchor", (F.col("count") > hot).alias("hot")), "substring-anchors", free=True)
     n = known.agg(F.count("*").alias("n"), F.count_if("hot").alias("hot")).first()
@@ -352,9 +342,8 @@ def repeat_marks(docs: DataFrame, *, hot: int = HOT, broadcast_anchors: int = BR
     else:
         places = map_arrow(docs, _place_batches, "id long, th long, begin int, anchor long").join(known, "anchor")
         places = places.groupBy("id", "th").agg(F.collect_set(F.col("begin") * 2 + F.col("hot").cast("int")).alias("places"))
-        hashed = map_arrow(docs, _hash_batches, "doc_id long, text string, th long")
-        own = hashed.join(places, (F.coalesce(hashed["doc_id"], F.lit(NO_ID)) == places["id"]) & (hashed["th"] == places["th"]))
-        segments = map_arrow(own.select("doc_id", "text", hashed["th"], "places"), _segments_by_places, _SEGMENT_DDL)
+        own = docs.join(places, (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == places["id"]) & (docs["th"] == places["th"]))
+        segments = map_arrow(own.select("doc_id", "text", docs["th"], "places"), _segments_by_places, _SEGMENT_DDL)
     segments = materialise(segments.select(
         "id", "th", "begin", F.xxhash64("anchor", "content").alias("chash"), "content",
         # a hot anchor's windows are dealt out by their own words
@@ -366,7 +355,8 @@ def repeat_marks(docs: DataFrame, *, hot: int = HOT, broadcast_anchors: int = BR
     # get() is null beyond the segment's last window, which counts as no
     bits = sum((F.when(F.get("least", F.lit(k)) < F.col("id"), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(WINDOW - ANCHOR + 1)), F.lit(0))
     marked = segments.select("id", "th", "begin", "chash").join(verdicts, "chash").withColumn("bits", bits).filter("bits > 0")
-    marks = marked.groupBy("id", "th").agg(F.collect_list(F.col("begin").cast("long") * 256 + F.col("bits")).alias("marks"))
+    # copies under one id have the same marks, so a set
+    marks = marked.groupBy("id", "th").agg(F.collect_set(F.col("begin").cast("long") * 256 + F.col("bits")).alias("marks"))
     marks = materialise(marks, "substring-marks", free=True)
     discard(segments)
     return marks
@@ -386,17 +376,8 @@ def _with_marks(docs: DataFrame, **options) -> DataFrame:
     marks = repeat_marks(docs, **options)
     marks = marks.select(F.col("id").alias("_mark_id"), F.col("th").alias("_mark_th"), F.col("marks").alias("_marks"))
     # both sides know a text by id and hash; ids alone would mix rows that share one
-    listed = marks.groupBy("_mark_id").agg(F.collect_list(F.struct("_mark_th", "_marks")).alias("_marks"))
-    return docs.join(listed, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_mark_id"), "left").drop("_mark_id")
-
-
-def _own_marks(ch: Chunk, column) -> list:
-    th = _text_hash(ch)
-    out = []
-    for r in range(ch.rows):
-        found = column[ch.lo + r].as_py()
-        out.append(next((m["_marks"] for m in found if m["_mark_th"] == th[r]), None) if found else None)
-    return out
+    own = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_mark_id")) & (F.xxhash64(docs["text"]) == F.col("_mark_th"))
+    return docs.join(marks, own, "left").drop("_mark_id", "_mark_th")
 
 
 def _digest_batches(batches):
@@ -404,7 +385,7 @@ def _digest_batches(batches):
         n_words, n_removed, digest = [], [], []
         for ch in chunks(b.column(1)):
             text = ch.buf.tobytes()
-            for r, marks in enumerate(_own_marks(ch, b.column(2))):
+            for r, marks in enumerate(b.column(2).slice(ch.lo, ch.rows).to_pylist()):
                 words = text[ch.off[r]:ch.off[r + 1]].split()
                 gone = _removed(ch, r, marks) if marks else None
                 kept = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
@@ -436,7 +417,7 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
             texts = b.column(at).to_pylist()
             for ch in chunks(b.column(at)):
                 text = ch.buf.tobytes()
-                for r, marks in enumerate(_own_marks(ch, b.column(b.num_columns - 1))):
+                for r, marks in enumerate(b.column(b.num_columns - 1).slice(ch.lo, ch.rows).to_pylist()):
                     if not marks:
                         continue
                     gone = _removed(ch, r, marks)

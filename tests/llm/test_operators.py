@@ -123,6 +123,22 @@ def test_repeats_with_shared_and_null_ids(spark):
     assert got == sorted(brute.repeats(rows))
 
 
+def test_repeats_of_many_texts_without_id(spark):
+    """Texts without an id whose hashes agree in 24 bits are cut each by its own marks."""
+    base = " ".join(f"w{i}" for i in range(13))
+    made = [f"{base} t{i} " + " ".join(f"v{i}x{k}" for k in range(2)) for i in range(20_000)]
+    other = [" ".join(f"u{i}x{k}" for k in range(30)) for i in range(20_000)]
+    h = np.concatenate([c.span_hash(c.off[:-1], c.off[1:]) for c in bytesops.chunks(pa.array(made + other))]) & np.uint64(0xFFFFFF)
+    place = {x: i for i, x in enumerate(h[:20_000].tolist())}
+    pairs = [(place[x], i) for i, x in enumerate(h[20_000:].tolist()) if x in place]
+    assert pairs
+    rows = [(1, base)] + [(None, t) for a, b in pairs for t in (made[a], other[b])]
+    want = sorted(brute.repeats(rows))
+    for options in ({}, {"broadcast_anchors": 0}):
+        got = substring.repeat_digests(spark.createDataFrame(rows, DOCS), **options)
+        assert sorted(map(tuple, got.select("n_words", "n_removed", "kept_sha256").collect())) == want
+
+
 def test_suffix_automaton():
     random.seed(3)
     refs = ["".join(random.choice("ab") for _ in range(random.randrange(1, 30))) for _ in range(12)]
