@@ -33,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.bytesops import Chunk, chunks, raw, texts_of
-from tessera.llm.common import map_arrow, tree_sum
+from tessera.llm.common import map_arrow, materialise, tree_sum
 
 PASSAGE = 16
 STRIDE = 8
 ITEM_STRIDE = 4
 COUNT_BITS = 17
 RANK = 192
+#: Blocks of the benchmark that ``drop_leaks`` holds against the documents in one pass.
+BLOCKS_A_PASS = 4
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -262,14 +264,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block_items: int = 256,
     those of the best one, a leak before others.  ``keep_all`` also returns the candidates
     that are not.
     """
-    spark = docs.sparkSession
+    result = docs.sparkSession.createDataFrame([], LEAK_DDL)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rules = cosine, sure, likely, answer_share
+    for k, sent in enumerate(_fitted_blocks(docs, benchmark, block_items, rank)):
+        found = map_arrow(docs, _search(sent, rules, keep_all), LEAK_DDL)
+        result = found if k == 0 else result.unionByName(found)
+    return result
+
+
+def _fitted_blocks(docs: DataFrame, benchmark: DataFrame, block_items: int, rank: int):
+    """The benchmark's blocks, each broadcast with its basis."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer")).filter("text is not null")
     n = items.count()
-    result = spark.createDataFrame([], LEAK_DDL)
     if not n:
-        return result
+        return
     counts = term_counts(docs)
     blocks = -(-n // block_items)
     for block in range(blocks):
@@ -279,51 +289,78 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block_items: int = 256,
         if q is None:
             continue
         fit_basis(docs, q, rank=rank)
-        sent = spark.sparkContext.broadcast(q)
-        found = map_arrow(docs, _search(sent, cosine, sure, likely, answer_share, keep_all), LEAK_DDL)
-        result = found if block == 0 else result.unionByName(found)
-    return result
-
-
-def _search(sent, cosine, sure, likely, answer_share, keep_all):
+        yield docs.sparkSession.sparkContext.broadcast(q)
+
+
+def _judged(column, q: Queries, masks: list[dict[bytes, int]], rules):
+    """(row, item, cosine, LCS ratio, answer ratio, leaked) of the candidates of a text column."""
+    cosine, sure, likely, answer_share = rules
+    for ch in chunks(_folded(column)):
+        spots: dict[tuple[int, int], list] = {}
+        for found in _candidates(ch, q, cosine):
+            for r, item, lo, hi, sim in zip(*(x.tolist() for x in found)):
+                spots.setdefault((r, item), []).append((lo - int(ch.first[r]), hi - int(ch.first[r]), sim))
+        text = ch.buf.tobytes() if spots else b""
+        last, words = -1, []
+        for (r, item), places in sorted(spots.items()):
+            if r != last:
+                last, words = r, text[ch.off[r]:ch.off[r + 1]].split()
+            best = (False, 0.0, 0.0)
+            sim = max(s for _, _, s in places)
+            # overlapping places are one region
+            places.sort()
+            lo, hi = places[0][:2]
+            size = len(q.words[item])
+            for x, y, _ in [*places[1:], (1 << 62, 0, 0)]:
+                if x <= hi and y - lo <= 2 * size + PASSAGE:
+                    hi = max(hi, y)
+                    continue
+                ratio, share = _verified(words, q, item, masks[item], lo, hi)
+                best = max(best, (ratio >= sure or ratio >= likely and share >= answer_share, ratio, share))
+                lo, hi = x, y
+            leaked, ratio, share = best
+            yield ch.lo + r, item, sim, ratio, share, leaked
+
+
+def _search(sent, rules, keep_all):
     def run(batches):
         q = sent.value
         masks = [bit_masks(w) for w in q.words]
         for b in batches:
-            ids = b.column(0).to_pylist()
+            ids = b.column(0)
             out = ([], [], [], [], [], [])
-            for ch in chunks(_folded(b.column(1))):
-                spots: dict[tuple[int, int], list] = {}
-                for found in _candidates(ch, q, cosine):
-                    for r, item, lo, hi, sim in zip(*(x.tolist() for x in found)):
-                        spots.setdefault((r, item), []).append((lo - int(ch.first[r]), hi - int(ch.first[r]), sim))
-                text = ch.buf.tobytes() if spots else b""
-                last, words = -1, []
-                for (r, item), places in sorted(spots.items()):
-                    if r != last:
-                        last, words = r, text[ch.off[r]:ch.off[r + 1]].split()
-                    best = (False, 0.0, 0.0)
-                    sim = max(s for _, _, s in places)
-                    # overlapping places are one region
-                    places.sort()
-                    lo, hi = places[0][:2]
-                    size = len(q.words[item])
-                    for x, y, _ in [*places[1:], (1 << 62, 0, 0)]:
-                        if x <= hi and y - lo <= 2 * size + PASSAGE:
-                            hi = max(hi, y)
-                            continue
-                        ratio, share = _verified(words, q, item, masks[item], lo, hi)
-                        best = max(best, (ratio >= sure or ratio >= likely and share >= answer_share, ratio, share))
-                        lo, hi = x, y
-                    leaked, ratio, share = best
-                    if leaked or keep_all:
-                        for column, value in zip(out, (ids[ch.lo + r], q.ids[item], sim, ratio, share, leaked)):
-                            column.append(value)
+            for r, item, *found in _judged(b.column(1), q, masks, rules):
+                if found[-1] or keep_all:
+                    for column, value in zip(out, (ids[r].as_py(), q.ids[item], *found)):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(x, pa.float64()) for x in out[2:5]), pa.array(out[5], pa.bool_())], names=["doc_id", "item_id", "cosine", "lcs_ratio", "answer_ratio", "leaked"])
     return run
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no benchmark item; rows that share a doc_id, null included, go together."""
-    leaked = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leak_id")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["_leak_id"]), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, block_items: int = 256, cosine: float = 0.68, rank: int = RANK,
+               sure: float = 0.6, likely: float = 0.5, answer_share: float = 0.6) -> DataFrame:
+    """The rows that hold no benchmark item, as ``find_leaks`` judges them.
+
+    Each row is judged by its own text where it is read, so no text is shuffled; its
+    doc_id, null or shared, doesn't matter.
+    """
+    at = docs.columns.index("text")
+    rules = cosine, sure, likely, answer_share
+
+    def clean(sent):
+        def run(batches):
+            q = sent.value
+            masks = [bit_masks(w) for w in q.words]
+            for b in batches:
+                ok = np.ones(b.num_rows, bool)
+                ok[[r for r, *_, leaked in _judged(b.column(at), q, masks, rules) if leaked]] = False
+                yield b.filter(pa.array(ok))
+        return run
+
+    kept = docs
+    for k, sent in enumerate(_fitted_blocks(docs, benchmark, block_items, rank)):
+        if k and k % BLOCKS_A_PASS == 0:
+            # as many blocks as one task's workers hold at a time
+            kept = materialise(kept, "leaks")
+        kept = map_arrow(kept, clean(sent), docs.schema)
+    return kept

@@ -412,6 +412,17 @@ def test_leak_in_second_best_region(spark):
     assert got == [(1, 21 / 40, 1.0)]
 
 
+def test_clean_rows_stay_beside_leaks(spark):
+    """A leak takes its own row only, not all rows without an id or with the same id."""
+    fill = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    items = [(i, fill(f"item{i}x", 20)) for i in range(12)]
+    clean = [(None, fill("a", 60)), (None, fill("b", 60)), (5, fill("c", 60)), (6, None)]
+    rows = [*clean, *((None if i % 2 else 5, f"{fill('d', 30)} {t} {fill('e', 30)}") for i, t in items)]
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    for block in (256, 2):
+        assert sorted(texts(decontam.drop_leaks(docs, bench, block_items=block)), key=str) == sorted(clean, key=str)
+
+
 def test_common_subsequence():
     random.seed(8)
     for _ in range(100):
