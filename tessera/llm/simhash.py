@@ -102,6 +102,14 @@ def _finger_batches(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], schema=FINGER_SCHEMA)
 
 
+def _key_finger_batches(batches):
+    """Fingerprints beside all columns but the last one, the text."""
+    for b in batches:
+        of_text = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(b.num_columns - 1)], names=["doc_id", "text"])
+        fp = [x.column(1) for x in _finger_batches([of_text])]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(fp), *b.columns[:-1]], names=["fp", *b.schema.names[:-1]])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint (as a signed long ``fp``) of every document."""
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _finger_batches, "doc_id long, fp long")
@@ -300,12 +308,17 @@ def link_fingerprints(distinct: DataFrame, *, radius: int = RADIUS, blocks: int
     return map_arrow(near, _link_batches(radius), "a long, b long").distinct()
 
 
+def _component_roots(ids: DataFrame, **options) -> DataFrame:
+    """``ids`` (fp and others, a row a fingerprint) with ``root``, the same all over a component."""
+    labels = connected_components(link_fingerprints(ids.select("fp"), **options))
+    return ids.join(labels, ids["fp"] == labels["node"], "left").select(*ids.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, *, radius: int = RADIUS, blocks: int = 6, tile: int = 8192) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable over links) of every document."""
     prints = materialise(fingerprints(docs), "simhash")
     ids = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    labels = connected_components(link_fingerprints(ids.select("fp"), radius=radius, blocks=blocks, tile=tile))
-    rooted = ids.join(labels, ids["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _component_roots(ids, radius=radius, blocks=blocks, tile=tile)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     comp = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(comp, "fp").select("doc_id", "fp", "component_id")
@@ -316,10 +329,22 @@ def fingerprint_hex(column):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
+def _row_key() -> tuple:
+    """Columns that tell rows apart but for copies under one doc_id, none of them null."""
+    key = F.col("doc_id").cast("long")
+    return key.isNull().alias("_no_id"), F.coalesce(key, F.lit(0)).alias("_id"), F.xxhash64("text").alias("_th")
+
+
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id.
+    """One row of each component stays: the one with the smallest doc_id.
 
-    Rows with that same doc_id stay with it; rows without one only where none has one.
+    Rows without a doc_id come after all others; among rows with one id the least text
+    hash decides, and of copies under one id any one stays.
     """
-    keep = simhash_components(docs, **options).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")
+    names = ["_no_id", "_id", "_th"]
+    keyed = docs.select("*", *_row_key())
+    prints = map_arrow(keyed.select("_no_id", "_id", "_th", "text"), _key_finger_batches, "fp long, _no_id boolean, _id long, _th long")
+    ids = materialise(prints.groupBy("fp").agg(F.min(F.struct(*names)).alias("first")), "simhash-distinct")
+    least = _component_roots(ids, **options).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    # copies meet before the shuffle, so that many of them don't fall to one task
+    return keyed.dropDuplicates(names).join(least, names, "left_semi").select(*docs.columns)

@@ -195,6 +195,17 @@ def test_links_of_random_groups():
         assert [got.get(i, i) for i in range(len(fp))] == [want[i] for i in range(len(fp))]
 
 
+def test_near_copies_without_id_go(spark):
+    """One row a component stays, though rows without an id, or with one id, are kept elsewhere."""
+    a, b, c = (" ".join(f"{t}{i} and" for i in range(60)) for t in ("x", "y", "z"))
+    rows = [(None, a), (None, a), (None, b), (3, b), (3, c), (4, c), (3, c), (4, a + " and"), (None, None)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert brute.fingerprint(a + " and") == brute.fingerprint(a) or bin(brute.fingerprint(a + " and") ^ brute.fingerprint(a)).count("1") <= 3
+    assert sorted(texts(simhash.drop_near_copies(df)), key=str) == sorted([(4, a + " and"), (3, b), (3, c), (None, None)], key=str)
+    lone = spark.createDataFrame([(None, a), (None, a), (None, b), (8, c)], DOCS)
+    assert sorted(texts(simhash.drop_near_copies(lone)), key=str) == sorted([(None, a), (None, b), (8, c)], key=str)
+
+
 def test_component_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 100), (None, 3), (7, 9)], "a long, b long")
     assert {r["node"]: r["root"] for r in connected_components(edges).collect()} == {i: 0 for i in range(1, 41)}
