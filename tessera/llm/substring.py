@@ -428,7 +428,7 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
                         if not g:
                             parts.append(text[begin:stop])
                         begin = stop
-                    texts[ch.lo + r] = b"".join(parts).decode("utf-8", "replace").strip()
+                    texts[ch.lo + r] = b"".join(parts).strip(b" \t\n\v\f\r").decode("utf-8", "replace")
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])], names=b.schema.names[:-1])
 
     return map_arrow(_with_marks(docs, **options), cut, StructType(schema.fields))

@@ -159,6 +159,13 @@ def test_cut_keeps_other_text(spark, odd):
     assert set(substring.cut_repeats(odd).columns) == set(odd.columns)
 
 
+def test_cut_keeps_odd_spaces_in_words(spark):
+    """Only the bytes that part words are stripped; other white space is part of a word."""
+    base = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(1, base), (2, f" \t\u00a0first {base} last\u3000 \x0b"), (3, f"\x1c {base} \x85\n")], DOCS)
+    assert sorted(texts(substring.cut_repeats(df))) == [(1, base), (2, "\u00a0first last\u3000"), (3, "\x1c \x85")]
+
+
 def test_reference_spans(spark):
     ref = spark.createDataFrame([(ROWS[0][1],), ("p q r s",), (None,)], "text string")
     docs = spark.createDataFrame([(1, "z " + ROWS[0][1] + " z"), (2, "p q r"), (3, None)], DOCS)
