@@ -89,7 +89,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
     """
     links = pages.filter("html is not null and host <> ''").select(
         F.col("host").alias("src"),
-        F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)(?:href|src)\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""), F.lit(1))).alias("url"))
+        F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)(?:href|src)\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""), F.lit(1))).alias("url"))
+    # a link without a scheme has that of its page, whose host is read alike
+    links = links.withColumn("url", F.when(F.col("url").startswith("//"), F.concat(F.lit("http:"), "url")).otherwise(F.col("url")))
     links = links.select("src", host_of(F.col("url")).alias("dst")).filter("dst <> '' and dst <> src")
     links = links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hosts = pages.select("host").distinct().union(links.select(F.col("dst").alias("host"))).distinct()

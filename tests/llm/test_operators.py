@@ -461,6 +461,12 @@ def test_urls(spark):
     assert got[0]["verdict"] == "allow" and url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_links_without_scheme(spark):
+    html = """<a href="//Other.net/x"> <img src=//pics.net:80/a.png> <a href='https://third.net/b//c'> <a href="/own//path">"""
+    edges = url_filter.host_edges(spark.createDataFrame([("page.net", html)], "host string, html string")).collect()
+    assert {r["dst"]: r["weight"] for r in edges if r["src"] == "page.net" and r["dst"] != "net"} == {"other.net": 1.0, "pics.net:80": 1.0, "third.net": 1.0}
+
+
 def test_trust_walk_against_plain_iteration(spark):
     edges = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "c", 2.0)]
     seeds = [("a", 1.0, 0.0), ("d", 0.0, 0.5), ("b", 0.0, 0.5)]
