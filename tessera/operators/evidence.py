@@ -7,7 +7,7 @@ the order in which sources were given and settles ties.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.functions.text import jaccard
 
@@ -116,11 +116,10 @@ def audit_notes(thresholds: DataFrame, reconciled: DataFrame, keys: list[str] =
     return j.select(*keys, "ord", note.alias("note")).filter("note is not null")
 
 
-def conflict_summary(notes: DataFrame, keys: list[str] = KEYS, most: int = 100) -> DataFrame:
-    """Names of the sources in each conflict, in order, as one text; the first ``most`` of a report."""
+def conflict_summary(notes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Names of all sources in each conflict, in order, as one text."""
     named = notes.filter(F.col("note").startswith("Conflict: ")).select(*keys, "ord", F.substring("note", 11, 1 << 20).alias("name"))
-    first = named.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("ord"))).filter(F.col("_n") <= most)
-    return first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), ", ").alias("conflict_sources"))
+    return named.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), ", ").alias("conflict_sources"))
 
 
 def conservative(thresholds: DataFrame, keys: list[str] = KEYS) -> DataFrame:

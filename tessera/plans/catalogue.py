@@ -282,6 +282,13 @@ def authoritative_threshold(spark, d):
     return r.select("chemical", "metric_name", "n_sources", "n_top", "spread_percent", "conflict", "mixed_units", F.col("primary.ord").alias("primary_ord"), F.col("primary.value").alias("primary_value"))
 
 
+@query(f"""WITH {_SRC}, {_rec_sql()} SELECT t.chemical, t.metric_name, string_agg(t.supplier_name || '=' || CAST(t.value AS VARCHAR) || t.unit, ', ' ORDER BY t.ord) AS conflict_sources
+FROM tops t JOIN rec2 r ON t.chemical = r.chemical AND t.metric_name = r.metric_name WHERE r.conflict AND t.authority_score = t.mx GROUP BY 1, 2""")
+def conflict_sources(spark, d):
+    src = _sources(spark, d)
+    return evidence.conflict_summary(evidence.audit_notes(src, evidence.reconcile(src)))
+
+
 @query(f"WITH {_VERDICT} SELECT event_id, state, cause, CASE WHEN cause = 'compared' THEN pvalue END AS threshold_value FROM vd")
 def safety_verdict(spark, d):
     return verdict.evaluate(_readings(spark, d), _sources(spark, d)).select("event_id", "state", "cause", "threshold_value")

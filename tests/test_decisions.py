@@ -55,6 +55,12 @@ def test_reconcile_notes(spark):
     assert named.first()["conflict_sources"] == "S0=25.0C, S1=100.0C"
 
 
+def test_conflict_names_all_sources(spark):
+    t = spark.createDataFrame([source(i, 25.0 + i) for i in range(130)], tables.THRESHOLD)
+    named = evidence.conflict_summary(evidence.audit_notes(t, evidence.reconcile(t))).first()["conflict_sources"]
+    assert named.split(", ") == [f"S{i}={25.0 + i}C" for i in range(130)]
+
+
 def test_previous_over_ranges(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 5), ("a", 17), ("b", 16), ("a", 40), ("b", 99)], "g string, k long")
     got = {r["k"]: r["previous"] for r in search.previous_of(rows, "g", "k", bucket=10).collect()}
