@@ -36,6 +36,8 @@ LOCKSTEP_CHARS = 64
 SLICE_BYTES = 1 << 21
 #: Words whose ids a worker remembers (about 40 bytes each); it starts afresh beyond.
 MEMO_WORDS = 1_500_000
+#: Share of the rows that the library encodes again.
+CHECK_SHARE = 0.25
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -354,6 +356,7 @@ class Encoder:
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode()
             for p, _, k in model.pieces])
 
+        self.odd = np.zeros(0, np.int64)  # rows of the last slice that went through the heap
         self._forget()
 
     def _forget(self) -> None:
@@ -437,7 +440,7 @@ class Encoder:
             per_row = np.bincount(row, weights=length, minlength=ch.rows).astype(np.int64)
         else:
             flat, per_row = np.zeros(0, np.int32), np.zeros(ch.rows, np.int64)
-        odd = np.flatnonzero((keyed == 0) & (np.diff(ch.off) > 0))
+        odd = self.odd = np.flatnonzero((keyed == 0) & (np.diff(ch.off) > 0))
         ends = np.cumsum(per_row)
         if len(odd):
             text = buf.tobytes()
@@ -474,62 +477,76 @@ def load(path: str) -> Encoder:
     return _models[path]
 
 
-def _check_against_library(path: str, ch, ids: np.ndarray, first: np.ndarray, encoder: Encoder, chars: int) -> None:
-    """Hold whole rows of a slice, up to ``chars`` bytes, against the library."""
+def _checked_rows(ch, odd: np.ndarray, share: float) -> np.ndarray:
+    """Rows of a slice that the library encodes too; see the module's text."""
+    chosen = (ch.span_hash(ch.off[:-1], ch.off[1:]) >> np.uint64(40)) < share * (1 << 24)
+    chosen[odd] = True
+    return np.flatnonzero(chosen)
+
+
+def _check_against_library(path: str, texts: list[str], ids: list[list[int]], decoded: list[str]) -> None:
+    """Hold rows against the library's ids and texts."""
     import sentencepiece
 
     key = "library:" + path
     if key not in _models:
         _models[key] = sentencepiece.SentencePieceProcessor(model_file=path)
-    library, seen, text = _models[key], 0, ch.buf.tobytes()
-    for r in range(ch.rows):
-        row = text[ch.off[r]:ch.off[r + 1]].decode()
-        seen += len(row)
-        if seen > chars:
-            return
-        want, mine = library.encode(row), ids[first[r]:first[r + 1]].tolist()
-        if mine != want or encoder.model.decode(mine) != library.decode(want):
-            raise ValueError(f"encoding differs from the sentencepiece library: {row[:200]!r}")
-
-
-def piece_digests(docs: DataFrame, model_path: str, *, check_chars: int = 1 << 12) -> DataFrame:
+    library = _models[key]
+    want = library.encode(texts, num_threads=1)
+    for text, mine, theirs, back, again in zip(texts, ids, want, decoded, library.decode(want, num_threads=1)):
+        if mine != theirs or back != again:
+            raise ValueError(f"encoding differs from the sentencepiece library: {text[:200]!r}")
+
+
+def _encoded(column, path: str, share: float):
+    """For slices of a text column: ids, each row's first one, decoded bytes, each row's span of them."""
+    encoder = load(path)
+    prefix = encoder.model.prefix
+    for ch, ids, first in encoder.slices(column):
+        decoded, at = encoder.id_bytes.gather(ids)
+        lo, hi = at[first[:-1]], at[first[1:]]
+        if prefix:
+            lead = np.frombuffer(decoded, np.uint8)
+            some = np.flatnonzero(hi > lo)
+            lo = lo.copy()
+            lo[some] += lead[lo[some]] == 32
+        rows = _checked_rows(ch, encoder.odd, share)
+        if len(rows):
+            text, off = ch.buf.tobytes(), ch.off
+            _check_against_library(
+                path, [text[off[r]:off[r + 1]].decode() for r in rows], [ids[first[r]:first[r + 1]].tolist() for r in rows],
+                [decoded[lo[r]:hi[r]].decode("utf-8", "replace") for r in rows])
+        yield ids, first, decoded, lo.tolist(), hi.tolist()
+
+
+def piece_digests(docs: DataFrame, model_path: str, *, check_share: float = CHECK_SHARE) -> DataFrame:
     """doc_id, n_tokens, SHA-256 of the comma-joined ids and of the decoded text.
 
-    ``check_chars`` bounds the characters of each slice of an Arrow batch that the library
-    encodes again as a check; the ids themselves never come from it.
+    ``check_share`` of the rows, and every row off the common path, are held against the
+    library (1: all rows); the ids themselves never come from it.
     """
     def run(batches):
         encoder = load(model_path)
-        prefix = encoder.model.prefix
         for b in batches:
             n, a, d = [], [], []
-            for ch, ids, first in encoder.slices(b.column(1)):
-                _check_against_library(model_path, ch, ids, first, encoder, check_chars)
-                text, text_at = encoder.id_text.gather(ids)
-                decoded, decoded_at = encoder.id_bytes.gather(ids)
+            for ids, first, decoded, lo, hi in _encoded(b.column(1), model_path, check_share):
+                text, at = encoder.id_text.gather(ids)
                 n.append(np.diff(first))
-                lo, hi = text_at[first[:-1]].tolist(), text_at[first[1:]].tolist()
-                a += [hashlib.sha256(text[x:max(x, y - 1)]).hexdigest() for x, y in zip(lo, hi)]
-                lo, hi = decoded_at[first[:-1]].tolist(), decoded_at[first[1:]].tolist()
-                d += [hashlib.sha256(decoded[x + (prefix and decoded[x:x + 1] == b" " and y > x):y]).hexdigest() for x, y in zip(lo, hi)]
+                a += [hashlib.sha256(text[x:max(x, y - 1)]).hexdigest() for x, y in zip(at[first[:-1]].tolist(), at[first[1:]].tolist())]
+                d += [hashlib.sha256(decoded[x:y]).hexdigest() for x, y in zip(lo, hi)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64)), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode_pieces(docs: DataFrame, model_path: str, *, check_chars: int = 1 << 12) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, *, check_share: float = CHECK_SHARE) -> DataFrame:
     """doc_id, ids (array of int) and decoded text of every document."""
     def run(batches):
-        encoder = load(model_path)
         for b in batches:
             rows, texts = [], []
-            for ch, ids, first in encoder.slices(b.column(1)):
-                _check_against_library(model_path, ch, ids, first, encoder, check_chars)
+            for ids, first, decoded, lo, hi in _encoded(b.column(1), model_path, check_share):
                 rows += [ids[x:y] for x, y in zip(first[:-1], first[1:])]
-                decoded, at = encoder.id_bytes.gather(ids)
-                for x, y in zip(at[first[:-1]].tolist(), at[first[1:]].tolist()):
-                    text = decoded[x:y].decode("utf-8", "replace")
-                    texts.append(text[1:] if encoder.model.prefix and text[:1] == " " else text)
+                texts += [decoded[x:y].decode("utf-8", "replace") for x, y in zip(lo, hi)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids array<int>, decoded string")
