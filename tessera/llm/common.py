@@ -11,13 +11,26 @@ import zipfile
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and everything runs in one process.
 LOCAL_SHARED_DIR = "file:///tmp/tessera-shared"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see, from ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
+    """Folder that the driver and all executors see, from ``spark.checkpoint.dir``.
+
+    Without that setting only a master that runs in this process has a folder, as in
+    tests; on a cluster a local one would lose rows silently, so there it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get()
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return LOCAL_SHARED_DIR
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def materialise(df: DataFrame, label: str, *, free: bool = False) -> DataFrame:
@@ -27,10 +40,14 @@ def materialise(df: DataFrame, label: str, *, free: bool = False) -> DataFrame:
     table and never depend on blocks that one executor holds.  With ``free`` the driver
     collects garbage afterwards, whereupon Spark removes the shuffle files that only the
     finished write needed; for large shuffles, as it would do so late by itself.
+
+    ``discard`` deletes the table early; the others go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    where, fs = _hadoop(spark, path)
+    fs.deleteOnExit(where)
     if free:
         spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
@@ -40,9 +57,21 @@ def materialise(df: DataFrame, label: str, *, free: bool = False) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the table behind a result of ``materialise`` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._tessera_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    where, fs = _hadoop(df.sparkSession, df._tessera_path)
+    fs.delete(where, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or a longer one that none of ``columns`` has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.bytesops import Chunk, chunks, covered, texts_of
-from tessera.llm.common import discard, map_arrow, materialise
+from tessera.llm.common import discard, map_arrow, materialise, unused
 
 WINDOW = 13
 ANCHOR = 7
@@ -296,29 +296,59 @@ def _segments_by_places(batches):
                 yield _emit(ch, ids, th, *_single_windows(anchor[keep], begin[keep], count[keep], hot[keep]))
 
 
+#: Bytes of segments that a task holds while it merges equal ones.
+MERGE_BYTES = 1 << 26
+
+
+def _merged_batches(batches):
+    """Equal segments of a task as one, with the least id: fewer go into the shuffle."""
+    held, size = [], 0
+
+    def flush():
+        table = pa.Table.from_batches(held).group_by(["chash", "route", "content"]).aggregate([("id", "min")])
+        return table.select(["route", "chash", "content", "id_min"]).rename_columns(["route", "chash", "content", "first"]).combine_chunks().to_batches()
+
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= MERGE_BYTES:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
+
+
 def _verdict_batches(batches):
-    """Least document of each window, from the automaton of a shard of whole routes."""
-    shard: list[tuple[int, list[str], int]] = []
+    """Least document of each window, from the automaton of a shard of whole routes.
+
+    Rows come sorted by route; a segment comes once from each task that saw it.
+    """
+    shard: dict[int, tuple[list[str], int]] = {}
     words, route = 0, None
 
     def flush():
         automaton = SuffixAutomaton()
-        for _, content, first in shard:
+        for content, first in shard.values():
             automaton.add(content, first)
         automaton.close()
         return pa.RecordBatch.from_arrays([
-            pa.array([k for k, _, _ in shard], pa.int64()),
-            pa.array([automaton.least_of_windows(c, WINDOW) for _, c, _ in shard], pa.list_(pa.int64()))], names=["chash", "least"])
+            pa.array(list(shard), pa.int64()),
+            pa.array([automaton.least_of_windows(c, WINDOW) for c, _ in shard.values()], pa.list_(pa.int64()))], names=["chash", "least"])
 
     for b in batches:
-        for r, k, content, first in zip(*(c.to_pylist() for c in b.columns)):
+        routes, hashes, contents, firsts = b.columns
+        for i, (r, k, first) in enumerate(zip(routes.to_pylist(), hashes.to_pylist(), firsts.to_pylist())):
             if r != route and words >= SHARD_WORDS:
                 yield flush()
-                shard, words = [], 0
+                shard, words = {}, 0
             route = r
-            w = content.split(" ")
-            shard.append((k, w, first))
-            words += len(w)
+            known = shard.get(k)
+            if known is None:
+                w = contents[i].as_py().split(" ")
+                shard[k] = w, first
+                words += len(w)
+            elif first < known[1]:
+                shard[k] = known[0], first
     if shard:
         yield flush()
 
@@ -349,9 +379,11 @@ def repeat_marks(docs: DataFrame, *, hot: int = HOT, broadcast_anchors: int = BR
         # a hot anchor's windows are dealt out by their own words
         F.when(F.col("hot"), F.xxhash64("content")).otherwise(F.col("anchor")).alias("route")), "substring-segments", free=True)
     discard(known)
-    distinct = segments.groupBy("route", "chash", "content").agg(F.min("id").alias("first"))
-    dealt = distinct.repartition("route").sortWithinPartitions("route").select("route", "chash", "content", "first")
-    verdicts = map_arrow(dealt, _verdict_batches, "chash long, least array<long>")
+    # words are shuffled once, one copy of a segment from each task; the verdicts are
+    # written by themselves, so that this shuffle is gone before the next one begins
+    merged = map_arrow(segments.select("route", "chash", "content", "id"), _merged_batches, "route long, chash long, content string, first long")
+    dealt = merged.repartition("route").sortWithinPartitions("route")
+    verdicts = materialise(map_arrow(dealt, _verdict_batches, "chash long, least array<long>"), "substring-verdicts", free=True)
     # get() is null beyond the segment's last window, which counts as no
     bits = sum((F.when(F.get("least", F.lit(k)) < F.col("id"), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(WINDOW - ANCHOR + 1)), F.lit(0))
     marked = segments.select("id", "th", "begin", "chash").join(verdicts, "chash").withColumn("bits", bits).filter("bits > 0")
@@ -359,6 +391,7 @@ def repeat_marks(docs: DataFrame, *, hot: int = HOT, broadcast_anchors: int = BR
     marks = marked.groupBy("id", "th").agg(F.collect_set(F.col("begin").cast("long") * 256 + F.col("bits")).alias("marks"))
     marks = materialise(marks, "substring-marks", free=True)
     discard(segments)
+    discard(verdicts)
     return marks
 
 
@@ -372,12 +405,12 @@ def _removed(ch: Chunk, r: int, marks) -> np.ndarray:
 
 
 def _with_marks(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` (doc_id, text and any others, already without clashing names) with marks."""
-    marks = repeat_marks(docs, **options)
-    marks = marks.select(F.col("id").alias("_mark_id"), F.col("th").alias("_mark_th"), F.col("marks").alias("_marks"))
+    """``docs`` (doc_id, text and any others) with marks as one more column, the last."""
+    names = [unused(docs.columns, x) for x in ("mark_id", "mark_text", "marks")]
+    marks = repeat_marks(docs, **options).toDF(*names)
     # both sides know a text by id and hash; ids alone would mix rows that share one
-    own = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_mark_id")) & (F.xxhash64(docs["text"]) == F.col("_mark_th"))
-    return docs.join(marks, own, "left").drop("_mark_id", "_mark_th")
+    own = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col(names[0])) & (F.xxhash64(docs["text"]) == F.col(names[1]))
+    return docs.join(marks, own, "left").drop(*names[:2])
 
 
 def _digest_batches(batches):
@@ -398,7 +431,7 @@ def _digest_batches(batches):
 def repeat_digests(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by spaces."""
     rows = _with_marks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), **options)
-    return map_arrow(rows.select("doc_id", "text", "_marks"), _digest_batches, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return map_arrow(rows, _digest_batches, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, **options) -> DataFrame:
