@@ -85,6 +85,18 @@ def shingles(words: Column, n: int) -> Column:
     return bound
 
 
+def shingle_hashes(words: Column, n: int) -> Column:
+    """64-bit hashes of the distinct shingles: a third of the size of their texts in a shuffle.
+
+    Two shingles of a pair of texts are taken for equal by chance about once in 2^64.
+    """
+    def made(w):
+        last = F.greatest(F.size(w) - n, F.lit(0))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])))
+
+    return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, made(w)).otherwise(F.array().cast("array<bigint>"))), F.lit(0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sets; 0 if both are empty."""
     both = F.size(F.array_union(a, b))

@@ -36,7 +36,7 @@ def association_rules(itemsets: DataFrame, min_lift: float = 1.0) -> DataFrame:
     lift of one the bound is checked on whole numbers.
     """
     wide = itemsets.filter(F.size("items") > 1)
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), 1) * 0 + F.pow(F.lit(2), F.size("items")).cast("int") - 2)
+    masks = F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2.0), F.size("items")).cast("long") - 2)
     split = wide.select("items", "freq", "n", F.explode(masks).alias("mask"))
     bit = lambda i: F.floor(F.col("mask") / F.pow(F.lit(2.0), i)) % 2 == 1
     sides = split.select("items", "freq", "n", F.filter("items", lambda x, i: bit(i)).alias("antecedents"), F.filter("items", lambda x, i: ~bit(i)).alias("consequents"))

@@ -12,6 +12,21 @@ from tessera.functions.text import kgrams, normalised, sound_code
 
 MAX_EDITS = 2
 MAX_CANDIDATES = 5
+LEAD = 3
+
+
+def ordered(names: DataFrame) -> DataFrame:
+    """(ord, term): distinct names numbered from 1 in their order.
+
+    Names are numbered inside ranges, those that share their first ``LEAD`` characters, and
+    moved on by the counts of the ranges before: one row a range meets in one task.
+    """
+    cut = names.select("term").distinct().withColumn("_range", F.substring("term", 1, LEAD))
+    counts = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy("_range").orderBy("term"))
+    return cut.join(offsets, "_range").select((F.col("_before") + own).cast("int").alias("ord"), "term")
 
 
 def kgram_index(vocabulary: DataFrame, k: int = 3) -> DataFrame:
@@ -81,9 +96,11 @@ def wildcard_matches(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
     prefix, stem = wildcard_parts(F.col("pattern"))
     asked = patterns.select("pattern").distinct().select("pattern", prefix.alias("is_prefix"), stem.alias("stem")).filter("stem is not null and stem <> ''")
     asked = asked.withColumn("size", F.length("stem"))
-    sizes = asked.select("is_prefix", "size").distinct()
+    # at most two rows, of at most as many lengths as the longest pattern has
+    sizes = asked.groupBy("is_prefix").agg(F.collect_set("size").alias("sizes"))
     word = vocabulary.select("ord", "term", F.explode(F.array_distinct(F.split(F.lower("term"), r"\s+"))).alias("token"))
-    cut = word.join(F.broadcast(sizes), F.length("token") >= F.col("size"))  # few distinct lengths, at most a term's
+    sided = word.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_prefix")).join(F.broadcast(sizes), "is_prefix")
+    cut = sided.select("ord", "term", "token", "is_prefix", F.explode(F.filter("sizes", lambda n: n <= F.length("token"))).alias("size"))
     part = F.when(F.col("is_prefix"), F.substring("token", F.lit(1), F.col("size"))).otherwise(F.substring("token", -F.col("size"), F.col("size")))
     keyed = cut.select("ord", "term", "is_prefix", part.alias("stem")).distinct()
     return asked.join(keyed, ["is_prefix", "stem"]).select("pattern", "ord", "term").distinct()

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tessera.functions.text import jaccard, shingles, tokens
+from tessera.sources.shared import written
 
 
 def inverted_index(docs: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, *, k: int = 5, least_idf:
     below that idf are left out, and so are documents whose distinct terms have a lower
     Jaccard similarity with the remaining query terms.  Scores have eight decimals.
     """
-    index = inverted_index(docs)
+    index = written(inverted_index(docs), "index")  # read for idf, weights and norms
     idf = idf_table(index, docs)
     weighted = index.join(idf, "term").select("term", "doc_id", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count("*").alias("doc_terms"))

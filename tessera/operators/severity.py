@@ -47,7 +47,7 @@ def predict(model, rows: DataFrame) -> DataFrame:
     return out.select(*rows.columns, F.get(names, at).alias("severity"), F.get(vector_to_array("probability"), at).alias("confidence"))
 
 
-def fit_text(rows: DataFrame, *, vocabulary: int = 4096, seed: int = 42):
+def fit_text(rows: DataFrame, *, vocabulary: int = 1 << 18, seed: int = 42):
     """Severity from TF-IDF features of rows (text, label): terms, weights, tree."""
     terms = rows.withColumn("terms", content_terms(F.col("text")))
     return Pipeline(stages=[

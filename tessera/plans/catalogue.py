@@ -12,9 +12,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tessera.functions.text import jaccard, sound_code, tokens
+from tessera.functions.text import jaccard, shingle_hashes, sound_code, tokens
 from tessera.operators import chat, evidence, metrics, mining, retrieval, search, severity, verdict
 from tessera.sources import tables
+from tessera.sources.shared import shared_dir, written
 from tessera.sources.tables import table
 from tessera.streaming import monitor
 
@@ -44,21 +45,23 @@ def oracle_sql() -> dict[str, str]:
 
 # ---------------------------------------------------------------- retrieval
 
+def _names(spark, d):
+    return table(spark, d, "part").select(F.col("p_name").alias("term")).filter("term is not null").distinct()
+
+
 def _vocabulary(spark, d):
-    names = table(spark, d, "part").select(F.col("p_name").alias("term")).filter("term is not null").distinct()
-    # a stable ordinal; the distinct names of a vocabulary are few
-    return names.select(F.dense_rank().over(W.orderBy("term")).cast("int").alias("ord"), "term")
+    return retrieval.ordered(_names(spark, d))
 
 
 def _misspelt(spark, d):
-    v = _vocabulary(spark, d)
+    v = _names(spark, d)
     half = (F.length("term") / 2).cast("int")
     return v.select(F.concat(F.substring("term", F.lit(1), half - 1), F.substring("term", half + 1, F.length("term"))).alias("query"), "term")
 
 
 def _asked(spark, d):
     """Exact with other case and spaces, one letter less, and doubled vowels."""
-    v = _vocabulary(spark, d)
+    v = _names(spark, d)
     exact = v.select(F.concat(F.lit("  "), F.upper("term"), F.lit(" ")).alias("query"), "term", F.lit("exact").alias("category"))
     typo = _misspelt(spark, d).select("query", "term", F.lit("misspelled").alias("category"))
     sound = v.select(F.regexp_replace("term", "([aeiou])", "$1e$1e").alias("query"), "term", F.lit("phonetic").alias("category"))
@@ -102,20 +105,19 @@ res AS (SELECT asked AS query, term, stage, CAST(distance AS INT) AS distance, C
 
 @query(f"WITH {_VOC} {_grams('voc', 'term')}")
 def kgram_index(spark, d):
-    return retrieval.kgram_index(_vocabulary(spark, d))
+    return retrieval.kgram_index(_names(spark, d))
 
 
 @query(f"WITH {_VOC}, {_TYPO}, forms AS (SELECT DISTINCT query FROM typo), {_CAND} SELECT query, term, overlap FROM cand WHERE overlap >= 2")
 def kgram_candidates(spark, d):
-    return retrieval.kgram_candidates(_misspelt(spark, d), retrieval.kgram_index(_vocabulary(spark, d)), min_overlap=2)
+    return retrieval.kgram_candidates(_misspelt(spark, d), retrieval.kgram_index(_names(spark, d)), min_overlap=2)
 
 
 @query(f"""WITH {_VOC}, {_TYPO}, forms AS (SELECT DISTINCT query FROM typo), {_CAND}
 SELECT query, term, CAST(distance AS INT) AS distance, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, overlap DESC, term) AS rank FROM
 (SELECT query, term, overlap, levenshtein(query, lower(term)) AS distance FROM cand) WHERE distance <= 2) WHERE rank <= 5""")
 def edit_distance_match(spark, d):
-    v = _vocabulary(spark, d)
-    return retrieval.edit_matches(retrieval.kgram_candidates(_misspelt(spark, d), retrieval.kgram_index(v)))
+    return retrieval.edit_matches(retrieval.kgram_candidates(_misspelt(spark, d), retrieval.kgram_index(_names(spark, d))))
 
 
 @query(f"WITH {_CASCADE} SELECT * FROM res")
@@ -135,7 +137,7 @@ def soundex_blocks(spark, d):
 
 
 def _patterns(spark, d, prefix):
-    token = _vocabulary(spark, d).select(F.explode(F.split(F.lower("term"), r"\s+")).alias("t")).distinct()
+    token = _names(spark, d).select(F.explode(F.split(F.lower("term"), r"\s+")).alias("t")).distinct()
     return token.select((F.concat(F.substring("t", 1, 3), F.lit("*")) if prefix else F.concat(F.lit("*"), F.substring("t", -3, 3))).alias("pattern")).distinct()
 
 
@@ -261,7 +263,7 @@ def jaccard_pairs(spark, d):
 
 @query(f"WITH {_SRC}, {_PAIRS} SELECT chemical, metric_name, i AS left_ord, j AS right_ord, left_supplier, right_supplier, similarity FROM haz")
 def hazard_conflicts(spark, d):
-    return evidence.hazard_conflicts(_sources(spark, d))
+    return evidence.hazard_conflicts(_sources(spark, d).select("chemical", "metric_name", "ord", "supplier_name", "hazard_statements"))
 
 
 @query(f"""SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN 0.95::DOUBLE ELSE {_SCORE} END AS authority_score FROM supplier""")
@@ -285,17 +287,24 @@ def authoritative_threshold(spark, d):
 @query(f"""WITH {_SRC}, {_rec_sql()} SELECT t.chemical, t.metric_name, string_agg(t.supplier_name || '=' || CAST(t.value AS VARCHAR) || t.unit, ', ' ORDER BY t.ord) AS conflict_sources
 FROM tops t JOIN rec2 r ON t.chemical = r.chemical AND t.metric_name = r.metric_name WHERE r.conflict AND t.authority_score = t.mx GROUP BY 1, 2""")
 def conflict_sources(spark, d):
-    src = _sources(spark, d)
+    src = written(_sources(spark, d), "sources")
     return evidence.conflict_summary(evidence.audit_notes(src, evidence.reconcile(src)))
 
 
 @query(f"WITH {_VERDICT} SELECT event_id, state, cause, CASE WHEN cause = 'compared' THEN pvalue END AS threshold_value FROM vd")
 def safety_verdict(spark, d):
-    return verdict.evaluate(_readings(spark, d), _sources(spark, d)).select("event_id", "state", "cause", "threshold_value")
+    return _verdicts(spark, d).select("event_id", "state", "cause", "threshold_value")
+
+
+def _verdicts(spark, d):
+    # thresholds feed three aggregates, so they are written once
+    return verdict.evaluate(_readings(spark, d), written(_sources(spark, d), "sources"))
 
 
 def _alerts(spark, d):
-    return verdict.alerts(verdict.evaluate(_readings(spark, d), _sources(spark, d))).select("event_id", "zone_id", "chemical", "alert_no", "alert_id", "status")
+    # numbering reads the warnings twice
+    warnings = written(_verdicts(spark, d).filter(F.col("state") == verdict.WARNING).select("event_id", "zone_id", "chemical", "state"), "warnings")
+    return verdict.alerts(warnings).select("event_id", "zone_id", "chemical", "alert_no", "alert_id", "status")
 
 
 _ALERTS = f"{_VERDICT}, al AS (SELECT event_id, zone_id, chemical, row_number() OVER (ORDER BY event_id) AS alert_no FROM vd WHERE state = 'WARNING'), al2 AS (SELECT *, 'ALT_' || CASE WHEN alert_no < 10000 THEN lpad(CAST(alert_no AS VARCHAR), 4, '0') ELSE CAST(alert_no AS VARCHAR) END AS alert_id FROM al)"
@@ -309,7 +318,7 @@ def alert_queue(spark, d):
 @query(f"WITH {_ALERTS} SELECT alert_id, CASE WHEN alert_no % 6 = 0 THEN 'REJECTED' WHEN alert_no % 3 = 0 THEN 'APPROVED' ELSE 'PENDING_SIGN_OFF' END AS status, CASE WHEN alert_no % 6 = 0 THEN 'second' WHEN alert_no % 3 = 0 THEN 'first' END AS signed_by FROM al2")
 def alert_signoff(spark, d):
     """Every third alert is approved; every sixth is rejected by a later decision."""
-    a = _alerts(spark, d)
+    a = written(_alerts(spark, d), "alerts")
     first = a.filter("alert_no % 3 = 0").select("alert_id", F.lit(True).alias("approved"), F.lit("first").alias("signed_by"), F.lit("").alias("notes"), F.lit(1).alias("signed_at"))
     second = a.filter("alert_no % 6 = 0").select("alert_id", F.lit(False), F.lit("second"), F.lit(""), F.lit(2))
     return verdict.sign_off(a, first.union(second))[0].select("alert_id", "status", "signed_by")
@@ -422,7 +431,7 @@ def classification_report(spark, d):
 SELECT truth, count(*) FILTER (WHERE predicted = 'SAFE') AS pred_safe, count(*) FILTER (WHERE predicted = 'WARNING') AS pred_warning, count(*) FILTER (WHERE predicted = 'UNKNOWN') AS pred_unknown FROM nv GROUP BY 1""")
 def confusion_matrix(spark, d):
     """Verdicts against those of a judge that takes the first top source and asks no more."""
-    r, src = _readings(spark, d), _sources(spark, d)
+    r, src = _readings(spark, d), written(_sources(spark, d), "sources")
     first = evidence.reconcile(src, tolerance=float("inf")).select("chemical", "metric_name", F.col("primary.value").alias("pv"), F.col("primary.direction").alias("pd"))
     j = verdict.evaluate(r, src).join(first, ["chemical", "metric_name"], "left")
     naive = F.when(F.col("pv").isNull(), "UNKNOWN").when(verdict.unsafe(F.col("current_value"), F.col("pv"), F.col("pd")), "WARNING").otherwise("SAFE")
@@ -553,10 +562,12 @@ SELECT pr.doc_id AS right_id, pr.prev_id AS left_id, coalesce(l.n, 0) - coalesce
 def shingle_difference(spark, d):
     """Each document against the one before it in its language."""
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    ids = search.previous_of(docs, "lang", "doc_id").select(F.col("doc_id").alias("right_id"), F.col("previous").alias("left_id"))
-    left, right = docs.select(F.col("doc_id").alias("left_id"), F.col("text").alias("left_text")), docs.select(F.col("doc_id").alias("right_id"), F.col("text").alias("right_text"))
-    diff = search.shingle_difference(ids.select("left_id", "right_id").join(left, "left_id").join(right, "right_id"))
-    return diff.select("right_id", "left_id", F.size("only_left").cast("long").alias("n_only_left"), F.size("only_right").cast("long").alias("n_only_right"))
+    ids = search.previous_of(docs.select("doc_id", "lang"), "lang", "doc_id").select(F.col("doc_id").alias("right_id"), F.col("previous").alias("left_id"))
+    sets = docs.select("doc_id", shingle_hashes(tokens(F.col("text")), 3).alias("s"))
+    left, right = sets.select(F.col("doc_id").alias("left_id"), F.col("s").alias("a")), sets.select(F.col("doc_id").alias("right_id"), F.col("s").alias("b"))
+    both = ids.join(left, "left_id").join(right, "right_id")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.select("right_id", "left_id", (F.size("a") - shared).cast("long").alias("n_only_left"), (F.size("b") - shared).cast("long").alias("n_only_right"))
 
 
 # ---------------------------------------------------------------- extraction, frontier, telemetry
@@ -610,7 +621,7 @@ def alert_compliance(spark, d):
 def streaming_window_counts(spark, d):
     """A file stream run to its end; complete mode, so the last window is there too."""
     stream = monitor.window_counts(monitor.event_stream(spark, f"{d}/events.parque[t]"))
-    return monitor.run_available(stream, spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tessera-shared")
+    return monitor.run_available(stream, shared_dir(spark))
 
 
 @query()
