@@ -6,14 +6,15 @@ benchmark passage by cosine there become candidates, and the longest common subs
 with the item, and the item's answer, decide.
 
 * Inverse document frequencies come from hashed term counts over all documents.
-* Columns of the matrix are the terms of the benchmark: other terms cannot add to a dot
-  product with an item.  Passages without any benchmark term are zero there and are passed over;
-  no other passage is, as its direction in the latent space may be an item's however
-  little of its norm the benchmark terms hold (a paraphrase in rare words).
-* Range finder: with A the rows of the passages of all documents whose benchmark terms
-  hold ``fit_mass`` of their norm (the basis fits those best; all are searched), and of the
-  benchmark weighted to equal energy, the basis is the orthonormalised (A'A)W of a random
-  start W, one product of which is summed over the executors in a tree.
+* Columns of the matrix A are the terms of the benchmark: other terms cannot add to a dot
+  product with an item.  Rows are the passages of all documents, the same ones that are
+  searched, and those of the benchmark weighted to equal energy.  Passages without any
+  benchmark term are zero; no other passage is passed over, as its direction in the latent
+  space may be an item's however little of its norm the benchmark terms hold (a paraphrase
+  in rare words).
+* Randomised SVD in one pass: (A'A)W for a sparse random sign matrix W of twice the rank is
+  summed over the executors in a tree; a small factorisation gives the singular values and
+  the right singular vectors, cut at the rank (Nystrom form).
 * The benchmark is a stated query set: it is taken in blocks of ``block_items``, each with
   its own basis, against all documents.
 
@@ -40,9 +41,16 @@ STRIDE = 8
 ITEM_STRIDE = 4
 COUNT_BITS = 17
 RANK = 192
+#: Entries in each row of the sketch matrix; its width is twice the rank.
+SIGNS = 1
+#: Bytes of text whose products are added up in single precision.
+FIT_BYTES = 1 << 24
+#: Characters of the items in a block.
+BLOCK_CHARS = 1 << 17
 #: Blocks of the benchmark that ``drop_leaks`` holds against the documents in one pass.
 BLOCKS_A_PASS = 4
 
+_LEAD = np.uint64(46)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 #: ASCII punctuation, dropped inside words so that copies match despite changed marks.
@@ -106,9 +114,28 @@ class Queries:
     answers: list[set[bytes]]
     terms: np.ndarray  # sorted hashes
     idf: np.ndarray  # by count bucket
-    basis: np.ndarray | None = None  # term x rank
-    latent: np.ndarray | None = None  # query passage x rank, unit length
+    table: np.ndarray | None = None  # term x rank: the basis, each term by its idf
+    latent: np.ndarray | None = None  # rank x query passage, unit length
     owner: np.ndarray | None = None  # item of each query passage
+    singular: np.ndarray | None = None  # singular values kept
+
+    def __post_init__(self):
+        # one term for each leading part of a hash; the few others are searched for
+        part = (self.terms >> _LEAD).astype(np.int64)
+        self.slot = np.zeros(1 << 18, np.int32)
+        self.slot[part] = np.arange(len(part))
+        self.crowded = np.bincount(part, minlength=1 << 18) > 1
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of hashes among the terms, and whether each is one."""
+        part = (h >> _LEAD).astype(np.int64)
+        at = self.slot[part]
+        known = self.terms[at] == h
+        left = np.flatnonzero(self.crowded[part] & ~known)
+        if len(left):
+            at[left] = np.minimum(np.searchsorted(self.terms, h[left]), len(self.terms) - 1)
+            known[left] = self.terms[at[left]] == h[left]
+        return at, known
 
 
 def _answer_words(text: str, answer: str | None) -> set[bytes]:
@@ -131,14 +158,12 @@ def make_queries(rows: list[tuple[int, str, str | None]], counts: np.ndarray) ->
 
 
 class Passages:
-    """Passages of a chunk: word numbers among the block's terms, weights, norms."""
+    """Passages of a chunk: their known words (terms of the block) and their norms."""
 
-    def __init__(self, ch: Chunk, q: Queries, stride: int, least_mass: float = 0.0):
+    def __init__(self, ch: Chunk, q: Queries, stride: int):
         h = ch.word_hash()
         w = q.idf[h >> np.uint64(64 - COUNT_BITS)]
-        at = np.minimum(np.searchsorted(q.terms, h), len(q.terms) - 1)
-        known = q.terms[at] == h
-        own = np.where(known, w * w, 0)
+        at, known = q.find(h)
         n = ch.n_words
         # passages begin every ``stride`` words; the last one of a row ends with the row
         count = np.where(n == 0, 0, np.maximum(0, -(-(n - PASSAGE) // stride)) + 1)
@@ -146,50 +171,95 @@ class Passages:
         step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         begin = ch.first[:-1][row] + np.minimum(step * stride, np.maximum(0, n[row] - PASSAGE))
         end = np.minimum(begin + PASSAGE, ch.first[1:][row])
-        mass = np.concatenate(([0], np.cumsum(own, dtype=np.float64)))
         norm = np.concatenate(([0], np.cumsum(w * w, dtype=np.float64)))
-        inside, whole = mass[end] - mass[begin], norm[end] - norm[begin]
-        keep = inside > least_mass * least_mass * whole
+        place = np.concatenate(([0], np.cumsum(known)))
+        self.term, self.weight = at[known], w[known]
+        # a passage without any known word is zero in the space and near to nothing
+        keep = place[end] > place[begin]
         self.row, self.begin, self.end = row[keep], begin[keep], end[keep]
-        self.norm = np.sqrt(whole[keep])
-        place = self.begin[:, None] + np.arange(PASSAGE)
-        used = place < self.end[:, None]
-        place = np.minimum(place, max(0, len(h) - 1))
-        self.term = np.where(used & known[place], at[place], len(q.terms)) if len(h) else np.zeros((0, PASSAGE), int)
-        self.weight = np.where(self.term < len(q.terms), w[place], 0).astype(np.float32) if len(h) else np.zeros((0, PASSAGE), np.float32)
+        self.lo, self.hi = place[self.begin], place[self.end]
+        self.norm = np.sqrt(norm[self.end] - norm[self.begin])
 
     def __len__(self) -> int:
         return len(self.row)
 
-    def times(self, m: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        """Rows lo..hi of A, each scaled to unit norm of all its terms, times m (one more zero row)."""
-        out = np.zeros((hi - lo, m.shape[1]), np.float32)
-        for k in range(PASSAGE):
-            live = np.flatnonzero(self.weight[lo:hi, k])
-            if len(live):
-                out[live] += m[self.term[lo:hi, k][live]] * self.weight[lo:hi, k][live, None]
-        return out / np.maximum(1e-9, self.norm[lo:hi, None]).astype(np.float32)
-
-    def transposed_times(self, y: np.ndarray, lo: int, hi: int, into: np.ndarray) -> None:
-        """Add A' y of rows lo..hi to ``into`` (terms x rank)."""
-        r, k = np.nonzero(self.weight[lo:hi])
-        t = self.term[lo:hi][r, k]
-        order = np.argsort(t, kind="stable")
-        t, r, k = t[order], r[order], k[order]
-        if not len(t):
+    def latent(self, table: np.ndarray, part: slice) -> np.ndarray:
+        """Unit vectors of the passages of ``part``: sums of their words' rows of ``table``."""
+        lo, size = self.lo[part], (self.hi - self.lo)[part]
+        # by falling size, so that those with a k-th word come first
+        order = np.argsort(-size, kind="stable")
+        lo, size = lo[order], size[order]
+        z = table[self.term[lo]]
+        for k in range(1, int(size[0]) if len(size) else 0):
+            m = np.searchsorted(-size, -k)
+            z[:m] += table[self.term[lo[:m] + k]]
+        z /= np.maximum(1e-9, np.sqrt(np.einsum("ij,ij->i", z, z)))[:, None]
+        out = np.empty_like(z)
+        out[order] = z
+        return out
+
+    def add_sketch(self, sketch: "Sketch", into: np.ndarray) -> None:
+        """Add A'A times the sketch matrix to ``into``, A being unit rows of these passages.
+
+        Passages stand in order, so those that hold known words e and e + lag are the ones
+        from the first that ends after e + lag to the last that begins by e; a prefix sum
+        gives the sum of their 1 / norm^2.
+        """
+        n = len(self.term)
+        if not len(self):
             return
-        scaled = y[r] * (self.weight[lo:hi][r, k] / np.maximum(1e-9, self.norm[lo:hi][r]))[:, None].astype(np.float32)
-        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        into[t[first]] += np.add.reduceat(scaled, first, axis=0)
+        total = np.concatenate(([0.0], np.cumsum(1.0 / np.maximum(1e-18, self.norm * self.norm))))
+        began = np.searchsorted(self.lo, np.arange(n), "right")
+        ended = np.searchsorted(self.hi, np.arange(n), "right")
+        flat, width = into.reshape(-1), into.shape[1]
+        for lag in range(min(PASSAGE, n)):
+            e = np.flatnonzero(began[:n - lag] > ended[lag:])
+            f = e + lag
+            value = (total[began[e]] - total[ended[f]]) * self.weight[e] * self.weight[f]
+            for x, y in ((e, f), (f, e))[:1 + (lag > 0)]:
+                row, other = self.term[x] * width, self.term[y]
+                for column, sign in zip(sketch.column, sketch.sign):
+                    np.add.at(flat, row + column[other], (value * sign[other]).astype(flat.dtype))
 
 
-_PART = 2048
+_BLOCK = 512
 
 
-def _product(p: Passages, start: np.ndarray, into: np.ndarray) -> None:
-    for lo in range(0, len(p), _PART):
-        hi = min(len(p), lo + _PART)
-        p.transposed_times(p.times(start, lo, hi), lo, hi, into)
+@dataclass
+class Sketch:
+    """Sparse random matrix, terms x width: ``SIGNS`` entries of -1 or 1 in each row."""
+
+    column: np.ndarray
+    sign: np.ndarray
+    width: int
+
+    @classmethod
+    def of(cls, terms: int, width: int, seed: int) -> "Sketch":
+        rng = np.random.default_rng(seed)
+        return cls(rng.integers(0, width, (SIGNS, terms)), rng.choice([-1.0, 1.0], (SIGNS, terms)), width)
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((self.column.shape[1], self.width))
+        for column, sign in zip(self.column, self.sign):
+            np.add.at(out, (np.arange(len(column)), column), sign)
+        return out
+
+
+def truncated_basis(y: np.ndarray, sketch: Sketch, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors and singular values of A from y = A'A times the sketch.
+
+    The Nystrom form of the randomised SVD: with the sketch W, A'A is y (W'y)^-1 y' on the
+    range of y; a Cholesky factor of W'y and an SVD of the thin quotient give the largest
+    ``rank`` singular pairs.
+    """
+    w = sketch.dense()
+    shift = 1e-7 * float(np.linalg.norm(y)) + 1e-30
+    y = y + shift * w
+    core = w.T @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    live = values > 1e-9 * max(1e-30, float(values[-1]))
+    u, s, _ = np.linalg.svd(y @ (vectors[:, live] / np.sqrt(values[live])), full_matrices=False)
+    return u[:, :rank], np.sqrt(np.maximum(0.0, s[:rank] ** 2 - shift))
 
 
 def _item_passages(q: Queries) -> list[Passages]:
@@ -197,55 +267,60 @@ def _item_passages(q: Queries) -> list[Passages]:
     return [Passages(ch, q, ITEM_STRIDE) for ch in chunks(text, 1 << 30)]
 
 
-def fit_basis(docs: DataFrame, q: Queries, *, rank: int = RANK, fit_mass: float = 0.65, seed: int = 3) -> None:
-    """Latent basis for a block, by one subspace step over all documents' passages."""
+def fit_basis(docs: DataFrame, q: Queries, *, rank: int = RANK, seed: int = 3) -> None:
+    """Latent space of a block: randomised SVD of the passages of all documents."""
     terms = len(q.terms)
-    rank = min(rank, terms)
-    rng = np.random.default_rng(seed)
-    start = np.vstack((rng.normal(size=(terms, rank)), np.zeros((1, rank)))).astype(np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast((q, start))
+    sketch = Sketch.of(terms, min(2 * rank, terms), seed)
+    sent = docs.sparkSession.sparkContext.broadcast((q, sketch))
 
     def product(batches):
-        query, begin = sent.value
-        total = np.zeros((len(query.terms), begin.shape[1]), np.float32)
+        query, own = sent.value
+        # a small table takes the sums of some text at a time, so that it stays in cache
+        part, total, size = np.zeros((len(query.terms), own.width), np.float32), np.zeros((len(query.terms), own.width)), 0
         for b in batches:
             for ch in chunks(_folded(b.column(0))):
-                _product(Passages(ch, query, PASSAGE, fit_mass), begin, total)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["g"])
+                Passages(ch, query, STRIDE).add_sketch(own, part)
+                size += len(ch.buf)
+                if size >= FIT_BYTES:
+                    total += part
+                    part[:], size = 0, 0
+        total += part
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["g"])
 
     found = tree_sum(map_arrow(docs.select("text"), product, "g binary"), np.float32)
-    corpus = np.zeros((terms, rank), np.float32) if found is None else found.reshape(terms, rank)
-    own = np.zeros((terms, rank), np.float32)
+    corpus = np.zeros((terms, sketch.width)) if found is None else found.reshape(terms, sketch.width).astype(np.float64)
+    own = np.zeros((terms, sketch.width))
     items = _item_passages(q)
     for p in items:
-        _product(p, start, own)
+        p.add_sketch(sketch, own)
+    # the benchmark has as much energy in the matrix as the corpus
     scale = max(1.0, float(np.linalg.norm(corpus)) / max(1e-9, float(np.linalg.norm(own))))
-    basis, _ = np.linalg.qr((corpus + scale * own).astype(np.float64))
-    q.basis = np.vstack((basis, np.zeros((1, basis.shape[1])))).astype(np.float32)
-    z = np.vstack([p.times(q.basis, 0, len(p)) for p in items])
+    basis, q.singular = truncated_basis(corpus + scale * own, sketch, rank)
+    weight = q.idf[q.terms >> np.uint64(64 - COUNT_BITS)]
+    q.table = (basis * weight[:, None]).astype(np.float32)
     q.owner = np.concatenate([p.row for p in items])
-    q.latent = z / np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))
+    q.latent = np.ascontiguousarray(np.vstack([p.latent(q.table, slice(None)) for p in items]).T)
     sent.unpersist()
 
 
 def _candidates(ch: Chunk, q: Queries, cosine: float):
     """(row, item, first word, end word, cosine) of passages near an item's."""
     p = Passages(ch, q, STRIDE)
-    for lo in range(0, len(p), _PART):
-        hi = min(len(p), lo + _PART)
-        z = p.times(q.basis, lo, hi)
-        z /= np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))
-        sim = z @ q.latent.T
-        r, c = np.nonzero(sim >= cosine)
-        if len(r):
-            yield p.row[lo + r], q.owner[c], p.begin[lo + r], p.end[lo + r], sim[r, c]
-
-
-def _verified(words: list[bytes], q: Queries, item: int, masks, lo: int, hi: int):
-    """LCS ratio with the item, and share of its answer words, around words lo..hi."""
-    size = len(q.words[item])
-    region = words[max(0, lo - size):hi + size]
-    ratio = common_subsequence(q.words[item], region, masks) / size
+    width = q.latent.shape[1]
+    for lo in range(0, len(p), _BLOCK):
+        z = p.latent(q.table, slice(lo, lo + _BLOCK))
+        sim = z @ q.latent
+        near = np.flatnonzero(sim.max(1) >= cosine)
+        if len(near):
+            sim = sim[near].reshape(-1)
+            hit = np.flatnonzero(sim >= cosine)
+            r, c = lo + near[hit // width], hit % width
+            yield p.row[r], q.owner[c], p.begin[r], p.end[r], sim[hit]
+
+
+def _verified(region: list[bytes], q: Queries, item: int, masks):
+    """LCS ratio with the item, and share of its answer words, in a region."""
+    ratio = common_subsequence(q.words[item], region, masks) / len(q.words[item])
     answer = q.answers[item]
     return ratio, (len(answer.intersection(region)) / len(answer) if answer else 0.0)
 
@@ -277,11 +352,11 @@ def _fitted_blocks(docs: DataFrame, benchmark: DataFrame, block_items: int, rank
     """The benchmark's blocks, each broadcast with its basis."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer")).filter("text is not null")
-    n = items.count()
-    if not n:
+    size = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    if not size["n"]:
         return
     counts = term_counts(docs)
-    blocks = -(-n // block_items)
+    blocks = max(-(-size["n"] // block_items), -(-size["chars"] // BLOCK_CHARS))
     for block in range(blocks):
         # one block of a stated query set, about ``block_items`` rows
         got = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
@@ -292,9 +367,14 @@ def _fitted_blocks(docs: DataFrame, benchmark: DataFrame, block_items: int, rank
         yield docs.sparkSession.sparkContext.broadcast(q)
 
 
-def _judged(column, q: Queries, masks: list[dict[bytes, int]], rules):
-    """(row, item, cosine, LCS ratio, answer ratio, leaked) of the candidates of a text column."""
+def _judged(column, q: Queries, masks: list[dict[bytes, int]], rules, keep_all: bool):
+    """(row, item, cosine, LCS ratio, answer ratio, leaked) of the candidates of a text column.
+
+    Without ``keep_all`` regions that cannot reach the least ratio are passed over.
+    """
     cosine, sure, likely, answer_share = rules
+    least = min(sure, likely)
+    held = [{w: m.bit_count() for w, m in x.items()} for x in masks]
     for ch in chunks(_folded(column)):
         spots: dict[tuple[int, int], list] = {}
         for found in _candidates(ch, q, cosine):
@@ -315,8 +395,11 @@ def _judged(column, q: Queries, masks: list[dict[bytes, int]], rules):
                 if x <= hi and y - lo <= 2 * size + PASSAGE:
                     hi = max(hi, y)
                     continue
-                ratio, share = _verified(words, q, item, masks[item], lo, hi)
-                best = max(best, (ratio >= sure or ratio >= likely and share >= answer_share, ratio, share))
+                region = words[max(0, lo - size):hi + size]
+                # the subsequence has no more words than the item has places of the region's words
+                if keep_all or sum(map(held[item].__getitem__, held[item].keys() & region)) >= least * size:
+                    ratio, share = _verified(region, q, item, masks[item])
+                    best = max(best, (ratio >= sure or ratio >= likely and share >= answer_share, ratio, share))
                 lo, hi = x, y
             leaked, ratio, share = best
             yield ch.lo + r, item, sim, ratio, share, leaked
@@ -329,7 +412,7 @@ def _search(sent, rules, keep_all):
         for b in batches:
             ids = b.column(0)
             out = ([], [], [], [], [], [])
-            for r, item, *found in _judged(b.column(1), q, masks, rules):
+            for r, item, *found in _judged(b.column(1), q, masks, rules, keep_all):
                 if found[-1] or keep_all:
                     for column, value in zip(out, (ids[r].as_py(), q.ids[item], *found)):
                         column.append(value)
@@ -353,7 +436,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, block_items: int = 256,
             masks = [bit_masks(w) for w in q.words]
             for b in batches:
                 ok = np.ones(b.num_rows, bool)
-                ok[[r for r, *_, leaked in _judged(b.column(at), q, masks, rules) if leaked]] = False
+                ok[[r for r, *_, leaked in _judged(b.column(at), q, masks, rules, False) if leaked]] = False
                 yield b.filter(pa.array(ok))
         return run
 
