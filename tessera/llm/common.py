@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import math
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder and everything runs in one process.
-LOCAL_SHARED_DIR = "file:///tmp/tessera-shared"
+from tessera.sources.shared import shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see, from ``spark.checkpoint.dir``.
-
-    Without that setting only a master that runs in this process has a folder, as in
-    tests; on a cluster a local one would lose rows silently, so there it is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get()
-    master = spark.sparkContext.master
-    if master == "local" or master.startswith("local["):
-        return LOCAL_SHARED_DIR
-    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+_c = ctypes.CDLL(None)
 
 
 def materialise(df: DataFrame, label: str, *, free: bool = False) -> DataFrame:
@@ -86,7 +70,8 @@ def ship_package(spark: SparkSession) -> None:
     here = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="tessera-code-"), "tessera_code.zip")
     with zipfile.ZipFile(path, "w") as z:
-        z.write(os.path.join(os.path.dirname(here), "__init__.py"), "tessera/__init__.py")
+        for name in ("__init__.py", "sources/__init__.py", "sources/shared.py"):
+            z.write(os.path.join(os.path.dirname(here), name), f"tessera/{name}")
         for name in sorted(os.listdir(here)):
             if name.endswith(".py"):
                 z.write(os.path.join(here, name), f"tessera/llm/{name}")
@@ -95,24 +80,56 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` with this subpackage importable on the workers."""
+    """``df.mapInArrow`` with this subpackage importable on the workers.
+
+    Workers live on after a task, so each task gives back the memory that its arrays took.
+    """
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
 
+    def run(batches):
+        yield from function(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
 
-def tree_sum(df: DataFrame, dtype) -> np.ndarray | None:
-    """Sum the fixed-size binary arrays in the only column of ``df``; None without rows.
 
-    Arrays are added pairwise in a reduction tree on the executors, so neither the driver
-    nor a task ever holds more than a fan-in of them, however many partitions there are.
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(_c, "malloc_trim"):
+        _c.malloc_trim(0)
+
+
+#: Arrays that a task of ``tree_fold`` takes together.
+FAN_IN = 24
+
+
+def tree_fold(df: DataFrame, dtype, fold=np.add) -> np.ndarray | None:
+    """Fold the fixed-size binary arrays in the only column of ``df``; None without rows.
+
+    Each round writes the arrays of ``FAN_IN`` partitions as one, so neither the driver nor
+    a task ever holds more than two of them, however many partitions there are.
     """
-    rdd = df.rdd.map(lambda row: np.frombuffer(row[0], dtype))
-    parts = max(1, rdd.getNumPartitions())
-    depth = max(2, math.ceil(math.log(max(2, parts), 24)))
-    return rdd.treeAggregate(None, _plus, _plus, depth)
+    name = df.columns[0]
+
+    def together(batches):
+        total = None
+        for b in batches:
+            for x in b.column(0):
+                x = np.frombuffer(x.as_buffer(), dtype)
+                total = x.copy() if total is None else fold(total, x, out=total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=[name])
+
+    while True:
+        level = materialise(df, "fold")
+        parts = -(-level.rdd.getNumPartitions() // FAN_IN)
+        df = map_arrow(level.coalesce(max(1, parts)), together, df.schema)
+        if parts <= 1:
+            rows = df.collect()  # one row at most
+            discard(level)
+            return np.frombuffer(rows[0][0], dtype) if rows else None
 
 
-def _plus(a, b):
-    if a is None:
-        return b
-    return a if b is None else a + b
+def tree_sum(df: DataFrame, dtype) -> np.ndarray | None:
+    """``tree_fold`` by addition."""
+    return tree_fold(df, dtype)

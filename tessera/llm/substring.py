@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.llm.bloom import FILTER_ROWS, bloom_filter, in_filter
 from tessera.llm.bytesops import Chunk, chunks, covered, texts_of
 from tessera.llm.common import discard, map_arrow, materialise, unused
 
@@ -37,9 +38,8 @@ ANCHOR = 7
 HOT = 4096
 #: Words of the segments behind one suffix automaton, and of a broadcast reference shard.
 SHARD_WORDS = 4096
-#: Repeated anchors whose Bloom filter (10 bits each, 32 MB at most) may be broadcast;
-#: beyond it they are joined.
-BROADCAST_ANCHORS = 1 << 24
+#: Repeated anchors whose Bloom filter may be broadcast; beyond it they are joined.
+BROADCAST_ANCHORS = FILTER_ROWS
 NO_ID = (1 << 63) - 1
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -199,48 +199,6 @@ def _single_windows(anchor, begin, count, hot):
     return anchor[rep], begin[rep] + step, np.where(hot, 1, count)[rep], hot[rep]
 
 
-_PROBES = 4
-
-
-def _bloom_bits(h: np.ndarray, size: int):
-    """Bit numbers of hashes in a filter of ``size`` bytes, a power of two."""
-    step = (h >> np.uint64(33)) | np.uint64(1)
-    for k in range(_PROBES):
-        yield ((h + np.uint64(k) * step) & np.uint64(8 * size - 1)).astype(np.int64)
-
-
-def _bloom(column: DataFrame, size: int) -> np.ndarray:
-    """Bloom filter of a long column, put together in a tree on the executors."""
-    def fill(batches):
-        bits = np.zeros(size, np.uint8)
-        for b in batches:
-            for at in _bloom_bits(b.column(0).to_numpy().view(np.uint64), size):
-                np.bitwise_or.at(bits, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
-
-    # the column has at most BROADCAST_ANCHORS rows: a few tasks fill few large filters
-    parts = map_arrow(column.coalesce(6), fill, "bits binary").rdd.map(lambda r: np.frombuffer(r[0], np.uint8))
-    found = parts.treeAggregate(None, _either, _either, 2)
-    return np.zeros(size, np.uint8) if found is None else found
-
-
-def _either(a, b):
-    if a is None or b is None:
-        return b if a is None else a
-    return np.bitwise_or(a, b)
-
-
-def _in_bloom(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Flags of the hashes that the filter may hold; few others, none of them missing."""
-    live = np.arange(len(h))
-    for k, at in enumerate(_bloom_bits(h, len(bits))):
-        at = at[live]
-        live = live[bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
-    out = np.zeros(len(h), bool)
-    out[live] = True
-    return out
-
-
 def _segments_by_filter(sent):
     def run(batches):
         known, hot = sent.value
@@ -251,10 +209,10 @@ def _segments_by_filter(sent):
                 if s is None:
                     continue
                 anchor, begin, count = s
-                keep = _in_bloom(anchor, known)
+                keep = in_filter(anchor, known)
                 if keep.any():
                     anchor, begin, count = anchor[keep], begin[keep], count[keep]
-                    yield _emit(ch, ids, th, *_single_windows(anchor, begin, count, _in_bloom(anchor, hot)))
+                    yield _emit(ch, ids, th, *_single_windows(anchor, begin, count, in_filter(anchor, hot)))
     return run
 
 
@@ -366,8 +324,7 @@ def repeat_marks(docs: DataFrame, *, hot: int = HOT, broadcast_anchors: int = BR
     known = materialise(anchors.groupBy("anchor").count().filter("count > 1").select("anchor", (F.col("count") > hot).alias("hot")), "substring-anchors", free=True)
     n = known.agg(F.count("*").alias("n"), F.count_if("hot").alias("hot")).first()
     if n["n"] <= broadcast_anchors:
-        size = lambda k: 1 << max(10, (10 * k // 8).bit_length())
-        few = _bloom(known.select("anchor"), size(n["n"])), _bloom(known.filter("hot").select("anchor"), size(n["hot"]))
+        few = bloom_filter(known.select("anchor"), n["n"]), bloom_filter(known.filter("hot").select("anchor"), n["hot"])
         segments = map_arrow(docs, _segments_by_filter(sc.broadcast(few)), _SEGMENT_DDL)
     else:
         places = map_arrow(docs, _place_batches, "id long, th long, begin int, anchor long").join(known, "anchor")
