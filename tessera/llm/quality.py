@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.llm.bloom import FILTER_ROWS, bloom_filter, in_filter
 from tessera.llm.bytesops import chunks, covered, mix, repeated
 from tessera.llm.common import map_arrow, materialise
 
@@ -200,7 +201,8 @@ def fit_quality(stats: DataFrame, labels: DataFrame, *, max_rows: int = 8192, ba
 
     The forest sees rows of quality 1 with a share ``bad_share`` of rows of quality 0, so
     that bad rows are rare in it.  Among the thresholds that reject at most
-    ``max_good_lost`` of all good labelled rows, the lowest one is taken.  The driver
+    ``max_good_lost`` of all good labelled rows, that which rejects most bad labelled rows
+    is taken, the highest of several.  The driver
     receives at most ``max_rows`` rows of statistics and a histogram of 10,001 bins.
     """
     spark = stats.sparkSession
@@ -218,16 +220,16 @@ def fit_quality(stats: DataFrame, labels: DataFrame, *, max_rows: int = 8192, ba
     forest = grow_forest(x, trees, subsample, seed)
     sent = spark.sparkContext.broadcast(forest)
     bins = _scored(seen, sent, ["quality"]).groupBy("quality", F.floor(F.col("anomaly") * 10000).alias("b")).count().collect()
-    good_bins = sorted(((r["b"], r["count"]) for r in bins if r["quality"] == 1), reverse=True)
-    allowed = max_good_lost * sum(n for _, n in good_bins)
-    threshold, lost = 1.1, 0
-    for b, n in good_bins:
-        lost += n
+    count = {(r["quality"], r["b"]): r["count"] for r in bins}
+    allowed = max_good_lost * sum(n for (q, _), n in count.items() if q == 1)
+    threshold, lost, caught, most = 1.1, 0, 0, 0
+    for b in sorted({b for _, b in count}, reverse=True):
+        lost += count.get((1, b), 0)
+        caught += count.get((0, b), 0)
         if lost > allowed:
-            threshold = (b + 1) / 10000
             break
-    else:
-        threshold = 0.0
+        if caught > most:
+            threshold, most = b / 10000, caught
     return QualityModel(forest, threshold)
 
 
@@ -263,13 +265,34 @@ def judge_quality(docs: DataFrame, labels: DataFrame, *, keep_extra: bool = Fals
         (~base_failed() & (F.coalesce("anomaly", F.lit(0.0)) < model.threshold)).alias("kept"))
 
 
+def _labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Statistics of the documents with a label, and of few others.
+
+    A filter of the labelled ids, where they are few enough for one, spares the others the
+    count; the join with the labels decides.
+    """
+    ids = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    n = ids.count()
+    if n <= FILTER_ROWS:
+        bits = docs.sparkSession.sparkContext.broadcast(bloom_filter(ids.select(F.xxhash64("doc_id")), n))
+
+        def labelled(batches):
+            for b in batches:
+                b = b.filter(pa.array(in_filter(b.column(2).to_numpy().view(np.uint64), bits.value)))
+                yield from _statistics_batches([b.select([0, 1])])
+
+        ids_and_texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
+        return materialise(map_arrow(ids_and_texts, labelled, STATS_DDL), "quality-stats")
+    return materialise(statistics(docs), "quality-stats")
+
+
 def drop_rejected(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     """The documents that the rules keep, with their columns.
 
     Each row is judged by its own text where it is read, so no text is shuffled; its
     doc_id, null or shared, doesn't matter.
     """
-    model = fit_quality(materialise(statistics(docs), "quality-stats"), labels, **fit)
+    model = fit_quality(_labelled_statistics(docs, labels), labels, **fit)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
