@@ -45,6 +45,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def code_points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and at each byte offset (the end too) how many begin before.
+
+    Every byte that does not continue another begins one, also where bytes are not valid.
+    """
+    lead = (buf & 0xC0) != 0x80
+    before = np.concatenate(([0], np.cumsum(lead)))
+    at = np.flatnonzero(lead)
+    padded = np.concatenate((buf, np.zeros(3, np.uint8))).astype(np.uint32)
+    codes = padded[at]
+    long = np.flatnonzero(codes >= 0xC0)
+    if len(long):
+        p, first = at[long], codes[long]
+        tail = [padded[p + k] & 0x3F for k in (1, 2, 3)]
+        codes[long] = np.where(first < 0xE0, (first & 0x1F) << 6 | tail[0], np.where(
+            first < 0xF0, (first & 0x0F) << 12 | tail[0] << 6 | tail[1],
+            (first & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]))
+    return codes, before
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """String column with nulls as empty texts."""
     if isinstance(column, pa.ChunkedArray):

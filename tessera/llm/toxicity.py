@@ -1,6 +1,6 @@
 """Toxicity: character n-gram linear classifier with naive Bayes scaled features.
 
-A text's features are the distinct byte n-grams (A-Z lowered, white space as spaces, a
+A text's features are the distinct character n-grams (lower case, white space as spaces, a
 space before and after the text), hashed.  Each is scaled by its log-count ratio between
 toxic and other training texts, and a logistic regression over the scaled features gives
 the score.
@@ -23,28 +23,43 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.bytesops import SPACE, chunks
+from tessera.llm.bytesops import chunks, code_points
 from tessera.llm.common import map_arrow, materialise, tree_sum
 
 GRAMS = (4, 5, 7)
 BITS = 21
 
-_FOLD = np.arange(256, dtype=np.uint32)
-_FOLD[65:91] += 32
-_FOLD[SPACE] = 32
 _PRIME = np.uint32(0x01000193)
+_folds: list[np.ndarray] = []
+
+
+def _fold() -> np.ndarray:
+    """By code point below 0x2000: its lower case, white space as a space."""
+    if not _folds:
+        table = np.arange(0x2000, dtype=np.uint32)
+        for c in range(0x2000):
+            low = chr(c).lower()
+            if chr(c).isspace():
+                table[c] = 32
+            elif len(low) == 1:
+                table[c] = ord(low)
+        _folds.append(table)
+    return _folds[0]
 
 
 def _grams(ch):
-    """For each n: hashed n-grams at every byte of the rows, each row led by a space.
+    """For each n: hashed n-grams at every character of the rows, each row led by a space.
 
     Yields (n, bucket of each position), and first the padded rows' starts, with the end.
     """
-    starts = ch.off + np.arange(ch.rows + 1)
-    codes = np.full(len(ch.buf) + ch.rows + 1, 32, np.uint32)
+    points, before = code_points(ch.buf)
+    low = np.flatnonzero(points < 0x2000)
+    points[low] = _fold()[points[low]]
+    starts = before[ch.off] + np.arange(ch.rows + 1)
+    codes = np.full(len(points) + ch.rows + 1, 32, np.uint32)
     at = np.ones(len(codes), bool)
     at[starts] = False
-    codes[at] = _FOLD[ch.buf]
+    codes[at] = points
     yield starts
     h = np.zeros(len(codes), np.uint32)
     for n in range(1, max(GRAMS) + 1):
@@ -102,7 +117,7 @@ class ToxicModel:
         return out
 
 
-def choose_features(pos: np.ndarray, neg: np.ndarray, *, least_count: int = 4, least_ratio: float = 1.0, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def choose_features(pos: np.ndarray, neg: np.ndarray, *, least_count: int = 10, least_ratio: float = 1.0, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Buckets whose log-count ratio tells the kinds apart, and these ratios."""
     ratio = np.log(((pos + alpha) / (pos + alpha).sum()) / ((neg + alpha) / (neg + alpha).sum()))
     chosen = np.flatnonzero((pos + neg >= least_count) & (np.abs(ratio) >= least_ratio))
@@ -155,7 +170,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, m
     texts = materialise(texts, "toxicity-sample")
     counts = tree_sum(map_arrow(texts.coalesce(8), _count_batches, "counts binary"), np.int32)
     counts = (np.zeros(2 << BITS, np.int32) if counts is None else counts).reshape(2, -1)
-    chosen, ratio = choose_features(counts[1], counts[0])
+    # few training texts have few texts for any feature
+    chosen, ratio = choose_features(counts[1], counts[0], least_count=min(10, max(4, texts.filter("toxic = 1").count() // 30)))
     sent = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def columns(batches):
