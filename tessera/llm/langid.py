@@ -12,7 +12,9 @@ Nulls and edge cases: null texts and texts without letters are ``und`` with scor
 documents without a language teach nothing but are labelled; ties go to the language that
 sorts first; without any training text everything is ``und``; very long texts and words
 are labelled whole; an empty table gives an empty result; repeated rows are labelled
-alike; extra columns don't matter.
+alike; extra columns don't matter.  The n-gram table has a column for each language, so at
+most ``MAX_LANGUAGES`` are learned, those with most training documents (ties: that which
+sorts first); texts in a rarer one are labelled with one of these.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.bytesops import chunks
+from tessera.llm.bytesops import chunks, code_points
 from tessera.llm.common import map_arrow, tree_sum
 
 UNDETERMINED = "und"
@@ -31,7 +33,12 @@ BITS = 16
 GRAMS = (2, 3)
 #: A change of language costs this much log-likelihood.
 PENALTY = 8.0
-MAX_LANGUAGES = 200
+#: Languages of the model; their table of n-grams is broadcast (256 KB each).
+MAX_LANGUAGES = 512
+#: Languages counted in one pass over their training texts.
+_PASS = 32
+#: Entries (characters by languages) scored at a time.
+_ENTRIES = 1 << 22
 _BLOCK = 64
 
 # Unicode block ranges of scripts.
@@ -68,9 +75,9 @@ class _Letters:
 
     def __init__(self, ch):
         script, fold = char_tables()
-        codes = np.frombuffer(ch.buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
-        at = np.concatenate(([0], np.cumsum((ch.buf & 0xC0) != 0x80)))
-        self.ch = ch
+        codes, at = code_points(ch.buf)
+        codes = np.minimum(codes, 0x10FFFF)
+        self.at = at
         self.start, self.stop = at[ch.start], at[ch.end]
         self.script = script[codes]
         self.fold = fold[codes]
@@ -104,34 +111,44 @@ class LanguageModel:
 def fit_languages(docs: DataFrame) -> LanguageModel:
     """n-gram and script counts of all training texts, added up on the executors."""
     known = docs.filter("lang is not null and doc_id is not null").filter(learns()).select("lang", "text")
-    languages = sorted(r[0] for r in known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    languages = sorted(r[0] for r in most.collect())
     k, scripts = len(languages), len(SCRIPTS) + 2
     if not k:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros((scripts, 0), bool))
+    logp, allowed = np.empty((1 << BITS, k), np.float32), np.empty((scripts, k), bool)
+    for lo in range(0, k, _PASS):
+        total = _counts(known, languages[lo:lo + _PASS], scripts)
+        width = 1 << BITS
+        grams = total[:, :width].T + 0.5
+        share = total[:, width:] / np.maximum(1, total[:, width:].sum(1, keepdims=True))
+        logp[:, lo:lo + _PASS] = np.log(grams / grams.sum(0))
+        allowed[:, lo:lo + _PASS] = share.T >= 0.002
+    return LanguageModel(languages, logp, allowed)
+
+
+def _counts(known: DataFrame, languages: list[str], scripts: int) -> np.ndarray:
+    """Numbers of n-grams by bucket, then of letters by script, of each language."""
     number = {x: i for i, x in enumerate(languages)}
     width = 1 << BITS
 
     def count(batches):
-        total = np.zeros((k, width + scripts), np.int64)
+        total = np.zeros((len(number), width + scripts), np.int64)
         for b in batches:
             lang = np.fromiter((number[x] for x in b.column(0).to_pylist()), np.int64, b.num_rows)
             for ch in chunks(b.column(1)):
                 t = _Letters(ch)
-                row = np.repeat(lang[ch.lo:ch.hi], np.diff(np.concatenate(([0], np.cumsum((ch.buf & 0xC0) != 0x80)))[ch.off]))
+                row = np.repeat(lang[ch.lo:ch.hi], np.diff(t.at[ch.off]))
                 letter = t.script > 0
                 r = row[letter]
-                flat = total.reshape(-1)
+                first = r * total.shape[1]
                 for _, g in t.grams():
-                    flat += np.bincount(r * total.shape[1] + g[letter], minlength=total.size)
-                flat += np.bincount(r * total.shape[1] + width + t.script[letter], minlength=total.size)
+                    np.add.at(total.reshape(-1), first + g[letter], 1)
+                np.add.at(total.reshape(-1), first + width + t.script[letter], 1)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
-    total = tree_sum(map_arrow(known, count, "counts binary"), np.int64).reshape(k, width + scripts)
-    grams = total[:, :width].T + 0.5
-    share = total[:, width:] / np.maximum(1, total[:, width:].sum(1, keepdims=True))
-    return LanguageModel(languages, np.log(grams / grams.sum(0)).astype(np.float32), share.T >= 0.002)
+    own = known.filter(F.col("lang").isin(languages))
+    return tree_sum(map_arrow(own, count, "counts binary"), np.int64).reshape(len(languages), width + scripts)
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
@@ -200,21 +217,28 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
 def label_column(column, model: LanguageModel, penalty: float = PENALTY):
     """For each chunk: the letters object, each word's label (-1: no letter), word weights."""
     k = len(model.languages)
-    for ch in chunks(column, 1 << 19):
+    for ch in chunks(column, max(1 << 14, min(1 << 19, (1 << 21) // max(1, k)))):
         t = _Letters(ch)
         letter = t.script > 0
         weight = np.diff(np.concatenate(([0], np.cumsum(letter)))[np.stack((t.start, t.stop), 1)], axis=1)[:, 0] if len(t.start) else np.zeros(0, np.int64)
         if not len(t.start) or not k:
             yield ch, np.full(len(t.start), -1), weight
             continue
-        per = np.zeros((t.n + 1, k), np.float32)
-        for _, g in t.grams():
-            per[1:] += model.logp[g]
-        per[1:][~letter] = 0
-        per[0] = 0
-        bounds = np.stack((t.start + 1, np.minimum(t.stop + 1, t.n)), 1).reshape(-1)
-        # sums over each word; the last reduceat slot of each pair is the gap between words
-        scores = np.add.reduceat(per, bounds, axis=0)[::2]
+        grams = [g for _, g in t.grams()]
+        scores = np.empty((len(t.start), k), np.float32)
+        lo = 0
+        while lo < len(t.start):
+            # whole words, a bounded number of characters together
+            hi = max(lo + 1, int(np.searchsorted(t.stop, t.start[lo] + _ENTRIES // k, "right")))
+            x, y = t.start[lo], t.stop[hi - 1]
+            per = model.logp[grams[0][x:y]]
+            for g in grams[1:]:
+                per += model.logp[g[x:y]]
+            per[~letter[x:y]] = 0
+            bounds = np.stack((t.start[lo:hi] - x, t.stop[lo:hi] - x), 1).reshape(-1)[:-1]
+            # sums over each word; every second one is over the gap between two words
+            scores[lo:hi] = np.add.reduceat(per, bounds, axis=0)[::2]
+            lo = hi
         scores[weight == 0] = 0
         seen = np.zeros((len(t.start), model.allowed.shape[0]), bool)
         word_of = np.repeat(np.arange(len(t.start)), t.stop - t.start)
