@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import discard, materialise
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -93,7 +93,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     # a link without a scheme has that of its page, whose host is read alike
     links = links.withColumn("url", F.when(F.col("url").startswith("//"), F.concat(F.lit("http:"), "url")).otherwise(F.col("url")))
     links = links.select("src", host_of(F.col("url")).alias("dst")).filter("dst <> '' and dst <> src")
-    links = links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    # read twice below, so that the pages are searched for links once
+    links = materialise(links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")), "url-links")
     hosts = pages.select("host").distinct().union(links.select(F.col("dst").alias("host"))).distinct()
     # every domain along the way up: a.b.c -> b.c -> c
     parts = F.split("host", r"\.")
@@ -104,8 +105,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(tree).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 15, settle_every: int = 5) -> DataFrame:
-    """Trust and distrust of every host after ``rounds`` of personalised PageRank.
+def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 40, settle_every: int = 5, tolerance: float = 1e-4) -> DataFrame:
+    """Trust and distrust of every host by personalised PageRank.
+
+    Rounds end when the ranks of all hosts together have moved by at most ``tolerance`` in
+    ``settle_every`` of them, or after ``rounds``.
 
     ``seeds`` has host, trusted and blocked (weights).  Both walks run in one table, with
     a kind column; distrust goes against the edges.  What would leave a host without
@@ -117,12 +121,20 @@ def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds:
     start = seeds.select(F.lit("t").alias("kind"), "host", F.col("trusted").alias("w")).union(seeds.select(F.lit("d").alias("kind"), "host", F.col("blocked").alias("w"))).filter("w > 0")
     sums = start.groupBy("kind").agg(F.sum("w").alias("all"))
     start = materialise(start.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("w") / F.col("all")).alias("rank")), "url-seeds")
-    rank = start
+    rank = settled = start
     for i in range(rounds):
         moved = rank.join(step, (rank["kind"] == step["kind"]) & (rank["host"] == step["src"])).select(rank["kind"], F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         rank = moved.union(start.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if (i + 1) % settle_every == 0:
+        if (i + 1) % settle_every == 0 or i + 1 == rounds:
             rank = materialise(rank, "url-rank")
+            moved = rank.select("kind", "host", "rank").union(settled.select("kind", "host", -F.col("rank"))).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("by"))
+            done = (moved.agg(F.sum("by")).first()[0] or 0.0) <= tolerance
+            if settled is not start:
+                discard(settled)
+            settled = rank
+            if done:
+                break
+    discard(step)
     return rank.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "t", F.col("rank")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "d", F.col("rank")).otherwise(0.0)).alias("distrust"))
