@@ -33,7 +33,7 @@ _NEVER = np.iinfo(np.int32).max
 #: Longest word that goes through the lockstep agenda.
 LOCKSTEP_CHARS = 64
 #: Bytes of text encoded at a time; a longer text makes its own slice.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Words whose ids a worker remembers (about 40 bytes each); it starts afresh beyond.
 MEMO_WORDS = 1_500_000
 #: Share of the rows that the library encodes again.
