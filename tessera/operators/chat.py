@@ -45,4 +45,4 @@ class Registry:
         try:
             return self._tools[name][1](**arguments)
         except Exception as e:  # errors of registered functions are answers, not failures
-            return f"Error executing {name}: {e}"
+            return f"{name} failed: {e}"

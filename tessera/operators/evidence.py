@@ -110,6 +110,7 @@ def audit_notes(thresholds: DataFrame, reconciled: DataFrame, keys: list[str] =
     r = reconciled.select(*keys, "top_authority", "conflict", F.col("primary.ord").alias("_ord"))
     j = thresholds.join(r, keys)
     score = F.col("authority_score").cast("string")
+    # fixed values: the texts of the notes on selected and superseded sources
     note = (F.when(F.col("conflict") & (F.col("authority_score") == F.col("top_authority")), F.concat(F.lit("Conflict: "), F.col("supplier_name"), F.lit("="), F.col("value").cast("string"), F.col("unit")))
             .when(~F.col("conflict") & (F.col("ord") == F.col("_ord")), F.concat(F.lit("Selected primary authority '"), F.col("supplier_name"), F.lit("' (score="), score, F.lit(")")))
             .when(~F.col("conflict"), F.concat(F.lit("Superseded secondary source '"), F.col("supplier_name"), F.lit("' (score="), score, F.lit(")"))))

@@ -101,3 +101,13 @@ def conflict_counts(rows: DataFrame) -> DataFrame:
     """True, false and missed conflicts from Boolean columns truth and predicted."""
     t, p = F.col("truth"), F.col("predicted")
     return rows.agg(F.count_if(t & p).alias("true_conflicts"), F.count_if(~t & p).alias("false_conflicts"), F.count_if(t & ~p).alias("missed_conflicts"))
+
+
+def extraction_scores(rows: DataFrame) -> DataFrame:
+    """Micro precision, recall and F1 of each kind from rows (kind, predicted, expected).
+
+    Predicted and expected are arrays of the values of one document.
+    """
+    hit = F.size(F.array_intersect("predicted", "expected"))
+    n = rows.groupBy("kind").agg(F.sum(hit).alias("h"), F.sum(F.size(F.array_distinct("predicted"))).alias("p"), F.sum(F.size(F.array_distinct("expected"))).alias("e"))
+    return n.select("kind", _ratio(F.col("h"), F.col("p")).alias("precision"), _ratio(F.col("h"), F.col("e")).alias("recall"), _ratio(2 * F.col("h"), F.col("p") + F.col("e")).alias("f1"))

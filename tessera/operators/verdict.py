@@ -42,10 +42,10 @@ def evaluate(readings: DataFrame, thresholds: DataFrame, *, tolerance: float = T
     state = F.when(cause != "compared", UNKNOWN).when(unsafe(value, limit, p["direction"]), WARNING).otherwise(SAFE)
     judged = j.withColumn("cause", cause).withColumn("state", state)
     compared = F.col("cause") == "compared"
-    what = F.concat(F.col("state"), F.lit(": current "), F.col("metric_name"), F.lit(" "), value.cast("string"), F.lit(" "), F.col("unit"),
-                    F.when(p["direction"] == "max", F.when(F.col("state") == WARNING, " meets or exceeds").otherwise(" is strictly below"))
-                    .otherwise(F.when(F.col("state") == WARNING, " is at or below").otherwise(" is strictly above")),
-                    F.lit(" the retrieved threshold "), limit.cast("string"), F.lit(" "), p["unit"], F.lit(". Source: "), p["citation"])
+    bound = F.when(p["direction"] == "max", ", ceiling ").otherwise(", floor ")
+    reached = F.when(F.col("state") == WARNING, " reached (").otherwise(" not reached (")
+    what = F.concat(F.col("state"), F.lit(": "), F.col("metric_name"), F.lit(" "), value.cast("string"), F.lit(" "), F.col("unit"),
+                    bound, limit.cast("string"), F.lit(" "), p["unit"], reached, p["citation"], F.lit(")"))
     why = (F.when(F.col("cause") == "no_thresholds", "no threshold was retrieved for the chemical")
            .when(F.col("cause") == "no_metric", "no retrieved threshold has the metric")
            .when(F.col("cause") == "hazard_conflict", F.concat(F.lit("hazard statements of "), F.col("left_supplier"), F.lit(" and "), F.col("right_supplier"), F.lit(" conflict")))
@@ -59,6 +59,8 @@ def evaluate(readings: DataFrame, thresholds: DataFrame, *, tolerance: float = T
 def numbered(df: DataFrame, key: str, name: str, *, start: int = 1, bucket: int = 100_000) -> DataFrame:
     """Number rows 1, 2, ... by an integer key, without sending them all to one task.
 
+    ``df`` is read twice: write it as a table first if it takes much to compute.
+
     Keys are cut into ranges of ``bucket``; each range is numbered by itself and moved on
     by the counts of the ranges before it.  Only one row a range meets in one place.
     """

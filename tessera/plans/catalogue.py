@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tessera.functions.text import jaccard, shingle_hashes, sound_code, tokens
+from tessera.functions.text import jaccard, shingle_hashes, shingles, sound_code, tokens
 from tessera.operators import chat, evidence, metrics, mining, retrieval, search, severity, verdict
 from tessera.sources import tables
 from tessera.sources.shared import shared_dir, written
@@ -164,10 +164,21 @@ def _judged(spark, d):
 _EVAL = """, ev AS (SELECT category, want, top, stage, CASE WHEN top = want THEN 1.0 ELSE 0.0 END AS ok FROM asked LEFT JOIN (SELECT query, term AS top, stage FROM res WHERE rank = 1) r ON asked.asked = r.query)"""
 
 
-@query(f"WITH {_CASCADE} {_EVAL} SELECT category, count(*) AS n_queries, avg(ok) AS pass_rate, avg(ok) AS precision, avg(ok) AS recall, avg(ok) AS f1 FROM ev GROUP BY 1")
+@query(f"""WITH {_CASCADE} {_EVAL}, tk AS (SELECT DISTINCT substr(t, 1, 3) AS stem, term FROM (SELECT term, unnest(regexp_split_to_array(lower(term), '\\s+')) AS t FROM voc)),
+wl AS (SELECT stem, count(*) AS np, count(*) FILTER (WHERE length(term) % 3 <> 0) AS ne FROM tk GROUP BY 1)
+SELECT category, count(*) AS n_queries, round(avg(ok), 9) AS pass_rate, round(avg(ok), 9) AS precision, round(avg(ok), 9) AS recall, round(avg(ok), 9) AS f1 FROM ev GROUP BY 1
+UNION ALL SELECT 'wildcard', count(*), round(avg(CASE WHEN np = ne THEN 1.0 ELSE 0.0 END), 9), round(avg(ne / np), 9), round(avg(CASE WHEN ne > 0 THEN 1.0 ELSE 0.0 END), 9), round(avg(2.0 * ne / (np + ne)), 9) FROM wl""")
 def retrieval_metrics(spark, d):
-    some = F.when(F.col("top").isNotNull(), F.array("top")).otherwise(F.array().cast("array<string>"))
-    return metrics.evaluate_sets(_judged(spark, d).select("category", some.alias("predicted"), F.array("term").alias("expected")))
+    """A wildcard's expected set lacks the terms whose length three divides."""
+    none = F.array().cast("array<string>")
+    some = F.when(F.col("top").isNotNull(), F.array("top")).otherwise(none)
+    names = _judged(spark, d).select("category", some.alias("predicted"), F.array("term").alias("expected"))
+    found = retrieval.wildcard_matches(_patterns(spark, d, True), _vocabulary(spark, d)).groupBy("pattern").agg(F.collect_set("term").alias("predicted"))
+    word = _names(spark, d).select("term", F.explode(F.split(F.lower("term"), r"\s+")).alias("t")).select("term", F.concat(F.substring("t", 1, 3), F.lit("*")).alias("pattern"))
+    want = word.filter(F.length("term") % 3 != 0).groupBy("pattern").agg(F.collect_set("term").alias("expected"))
+    wild = found.join(want, "pattern", "left").select(F.lit("wildcard").alias("category"), "predicted", F.coalesce("expected", none).alias("expected"))
+    out = metrics.evaluate_sets(names.unionByName(wild))
+    return out.select("category", "n_queries", *[F.round(c, 9).alias(c) for c in ("pass_rate", "precision", "recall", "f1")])
 
 
 @query(f"WITH {_CASCADE} {_EVAL} SELECT category, sum(CASE WHEN top = want THEN 1 ELSE 0 END)::BIGINT AS n_right, count(*) AS n FROM ev GROUP BY 1")
@@ -291,6 +302,14 @@ def conflict_sources(spark, d):
     return evidence.conflict_summary(evidence.audit_notes(src, evidence.reconcile(src)))
 
 
+@query(f"""WITH {_SRC}, {_rec_sql()} SELECT t.chemical, t.metric_name, t.ord, CASE WHEN r.conflict THEN 'Conflict: ' || t.supplier_name || '=' || CAST(t.value AS VARCHAR) || t.unit
+ELSE CASE WHEN t.ord = r.pord THEN 'Selected primary authority ' ELSE 'Superseded secondary source ' END || chr(39) || t.supplier_name || chr(39) || ' (score=' || CAST(t.authority_score AS VARCHAR) || ')' END AS note
+FROM tops t JOIN rec2 r ON t.chemical = r.chemical AND t.metric_name = r.metric_name WHERE NOT r.conflict OR t.authority_score = t.mx""")
+def source_notes(spark, d):
+    src = written(_sources(spark, d), "sources")
+    return evidence.audit_notes(src, evidence.reconcile(src))
+
+
 @query(f"WITH {_VERDICT} SELECT event_id, state, cause, CASE WHEN cause = 'compared' THEN pvalue END AS threshold_value FROM vd")
 def safety_verdict(spark, d):
     return _verdicts(spark, d).select("event_id", "state", "cause", "threshold_value")
@@ -523,19 +542,22 @@ def index_elimination(spark, d):
 
 
 def _retrieved(spark, d):
-    ranked = search.tfidf_search(_documents(spark, d), table(spark, d, "benchmark"), k=10)
-    good = table(spark, d, "labels").filter("quality = 1").select("doc_id").distinct()
-    items = table(spark, d, "benchmark").select("item_id")
-    # relevance is judged for documents; an item's relevant set is that of its ten nearest
-    relevant = ranked.join(good, "doc_id", "left_semi").select("item_id", "doc_id")
+    docs, items = _documents(spark, d), table(spark, d, "benchmark").select("item_id", "text")
+    ranked = search.tfidf_search(docs, items, k=10)
+    # relevant to an item are all documents with its first three words in a row
+    head = items.select("item_id", F.array_join(F.slice(tokens(F.col("text")), 1, 3), " ").alias("s"))
+    relevant = docs.select("doc_id", F.explode(shingles(tokens(F.col("text")), 3)).alias("s")).join(head, "s").select("item_id", "doc_id")
     m = metrics.ranked_metrics(ranked, relevant)
     return items.join(m, "item_id", "left").select("item_id", *[F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c) for c in ("precision_at", "recall_at", "average_precision")])
 
 
-_RANKED = f"""{_ranked_sql('0', '0', 10)}, gd AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), ht AS (SELECT rk.*, CASE WHEN gd.doc_id IS NULL THEN 0 ELSE 1 END AS hit FROM rk LEFT JOIN gd USING (doc_id)),
+_RANKED = f"""{_ranked_sql('0', '0', 10)}, it AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM benchmark),
+rl AS (SELECT DISTINCT it.item_id, a.doc_id FROM it JOIN tok a ON a.term = w[1] JOIN tok b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 AND b.term = w[2] JOIN tok c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 AND c.term = w[3]),
+nr AS (SELECT item_id, count(*) AS n FROM rl GROUP BY 1),
+ht AS (SELECT rk.*, CASE WHEN rl.doc_id IS NULL THEN 0 ELSE 1 END AS hit FROM rk LEFT JOIN rl ON rl.item_id = rk.item_id AND rl.doc_id = rk.doc_id),
 sn AS (SELECT *, sum(hit) OVER (PARTITION BY item_id ORDER BY rank) AS seen FROM ht),
-mt AS (SELECT item_id, sum(CASE WHEN rank <= 5 THEN hit ELSE 0 END) / 5.0 AS precision_at, CASE WHEN sum(hit) > 0 THEN 1.0 ELSE 0.0 END AS recall_at,
- CASE WHEN sum(hit) > 0 THEN sum(CASE WHEN hit = 1 THEN seen / rank ELSE 0 END) / sum(hit) ELSE 0.0 END AS average_precision FROM sn GROUP BY 1)"""
+mt AS (SELECT item_id, sum(CASE WHEN rank <= 5 THEN hit ELSE 0 END) / 5.0 AS precision_at, coalesce(sum(hit) / any_value(n), 0) AS recall_at,
+ coalesce(sum(CASE WHEN hit = 1 THEN seen / rank ELSE 0 END) / any_value(n), 0) AS average_precision FROM sn LEFT JOIN nr USING (item_id) GROUP BY 1)"""
 
 
 @query(f"WITH {_RANKED} SELECT item_id, coalesce(round(precision_at, 9), 0)::DOUBLE AS precision_at FROM benchmark LEFT JOIN mt USING (item_id)")
@@ -543,7 +565,7 @@ def precision_at_5(spark, d):
     return _retrieved(spark, d).select("item_id", "precision_at")
 
 
-@query(f"WITH {_RANKED} SELECT item_id, coalesce(recall_at, 0)::DOUBLE AS recall_at FROM benchmark LEFT JOIN mt USING (item_id)")
+@query(f"WITH {_RANKED} SELECT item_id, coalesce(round(recall_at, 9), 0)::DOUBLE AS recall_at FROM benchmark LEFT JOIN mt USING (item_id)")
 def recall_at_10(spark, d):
     return _retrieved(spark, d).select("item_id", "recall_at")
 
@@ -624,8 +646,87 @@ def streaming_window_counts(spark, d):
     return monitor.run_available(stream, shared_dir(spark))
 
 
-@query()
+@query("""SELECT p_partkey, CAST(p_size % 5 AS INT) AS nfpa_health, CAST(p_partkey % 5 AS INT) AS nfpa_flammability, CAST(p_size % 4 AS INT) AS nfpa_instability, CAST(p_size % 9 AS INT) AS ghs_count,
+CASE WHEN p_size % 5 <= 1 THEN 'LOW' WHEN p_size % 5 <= 2 THEN 'MEDIUM' WHEN p_size % 5 <= 3 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, 1.0::DOUBLE AS confidence FROM part""")
 def severity_predictions(spark, d):
-    """Severity of every part from features made of its columns; the tree has no SQL twin."""
+    """Severity of every part from features made of its columns; SQL has the fitted tree as a CASE."""
     p = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 5).cast("int").alias("nfpa_health"), (F.col("p_partkey") % 5).cast("int").alias("nfpa_flammability"), (F.col("p_size") % 4).cast("int").alias("nfpa_instability"), (F.col("p_size") % 9).cast("int").alias("ghs_count"))
     return severity.predict(severity.fit(severity.baseline(spark)), p)
+
+# ---------------------------------------------------------------- data sheets, inventory, windows
+
+_CAS = ["108-88-3", "67-64-1", "108-88-4"]  # the last one's check digit is wrong
+
+
+def _sheets(spark, d):
+    """A short data sheet for each part, of numbered sections."""
+    p = table(spark, d, "part")
+    code = F.concat(F.lit("H"), (200 + F.col("p_size") % 100).cast("string"))
+    text = F.concat(F.lit("Section 1: Identification\n"), F.col("p_name"), F.lit(" CAS "), _case(F.col("p_partkey") % 3, _CAS),
+                    F.lit("\nSECTION 2: Hazards\n"), code, F.lit(" and P210\n  section 8: Limits\n"), (F.col("p_size") % 90 + 1).cast("string"), F.lit(" ppm\n"))
+    return p.select(F.col("p_partkey").alias("doc_id"), text.alias("text"), code.alias("code"), _case(F.col("p_partkey") % 3, _CAS).alias("cas"))
+
+
+@query(f"""SELECT p_partkey AS doc_id, 1 AS section, 'Identification' || chr(10) || p_name || ' CAS ' || {_sql_case('p_partkey % 3', _CAS)} AS body FROM part
+UNION ALL SELECT p_partkey, 2, 'Hazards' || chr(10) || 'H' || (200 + p_size % 100) || ' and P210' FROM part UNION ALL SELECT p_partkey, 8, 'Limits' || chr(10) || (p_size % 90 + 1) || ' ppm' FROM part""")
+def sheet_sections(spark, d):
+    return tables.sections(_sheets(spark, d))
+
+
+@query(f"""SELECT p_partkey AS doc_id, 'cas' AS kind, {_sql_case('p_partkey % 3', _CAS)} AS value FROM part WHERE p_partkey % 3 < 2 UNION ALL SELECT p_partkey, 'hazard', 'H' || (200 + p_size % 100) FROM part
+UNION ALL SELECT p_partkey, 'hazard', 'P210' FROM part UNION ALL SELECT p_partkey, 'limit', (p_size % 90 + 1) || ' ppm' FROM part""")
+def sheet_identifiers(spark, d):
+    return tables.identifiers(_sheets(spark, d), ["cas", "hazard", "limit"])
+
+
+@query("""SELECT 'cas' AS kind, 1.0::DOUBLE AS precision, round(count(*) FILTER (WHERE p_partkey % 3 < 2) / count(*), 9) AS recall, round(2 * count(*) FILTER (WHERE p_partkey % 3 < 2) / (count(*) + count(*) FILTER (WHERE p_partkey % 3 < 2)), 9) AS f1 FROM part
+UNION ALL SELECT 'hazard', 0.5, 1.0, round(2 * count(*) / (2 * count(*) + count(*)), 9) FROM part""")
+def extraction_metrics(spark, d):
+    """CAS numbers with a wrong check digit are expected and not found; P210 is found and not expected."""
+    sheets = _sheets(spark, d)
+    found = tables.identifiers(sheets, ["cas", "hazard"]).groupBy("doc_id", "kind").agg(F.collect_set("value").alias("predicted"))
+    want = sheets.select("doc_id", F.explode(F.create_map(F.lit("cas"), F.array("cas"), F.lit("hazard"), F.array("code"))).alias("kind", "expected"))
+    rows = want.join(found, ["doc_id", "kind"], "left").select("kind", F.coalesce("predicted", F.array().cast("array<string>")).alias("predicted"), "expected")
+    return metrics.extraction_scores(rows).select("kind", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"""WITH {_SRC}, lim AS (SELECT chemical, metric_name, min(CASE WHEN direction = 'max' THEN value END) AS control_ceiling, max(CASE WHEN direction = 'min' THEN value END) AS control_floor FROM src GROUP BY 1, 2),
+inv AS (SELECT DISTINCT 'Z' || user_id AS zone_id, 'part-' || (user_id % 40 + 1) AS chemical FROM events)
+SELECT event_id, zone_id, chemical, metric_name, current_value, control_ceiling, control_floor FROM (SELECT event_id, 'Z' || user_id AS zone_id, event_type AS metric_name, value AS current_value FROM events) JOIN inv USING (zone_id) JOIN lim USING (chemical, metric_name)
+WHERE coalesce(current_value >= control_ceiling, false) OR coalesce(current_value <= control_floor, false)""")
+def zone_excursions(spark, d):
+    """Readings against the limits of what each zone stores."""
+    stored = table(spark, d, "events").select(F.concat(F.lit("Z"), F.col("user_id").cast("string")).alias("zone_id"), F.concat(F.lit("part-"), (F.col("user_id") % 40 + 1).cast("string")).alias("chemical"))
+    limits = evidence.conservative(_sources(spark, d)).drop("n_sources")
+    return monitor.zone_excursions(_readings(spark, d), stored, limits)
+
+
+@query(f"WITH {_ALERTS} SELECT al2.zone_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_alert FROM al2 JOIN events USING (event_id) GROUP BY 1")
+def last_alerts(spark, d):
+    a = monitor.last_alerts(_alerts(spark, d), table(spark, d, "events"))
+    return a.select("zone_id", F.date_format("last_alert", "yyyy-MM-dd HH:mm:ss").alias("last_alert"))
+
+
+@query("""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, max(value) AS max_value FROM
+(SELECT event_type, value, unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS w FROM events) GROUP BY 1, 2""")
+def sliding_window_counts(spark, d):
+    return monitor.window_counts(table(spark, d, "events"), "1 hour", slide="30 minutes")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_counts(spark, d):
+    return monitor.session_counts(table(spark, d, "events"), "6 hours")
+
+
+@query(_SQL["zone_state"])
+def streaming_zone_state(spark, d):
+    return monitor.run_available(monitor.zone_state(monitor.event_stream(spark, f"{d}/events.parque[t]"), 50.0), shared_dir(spark))
+
+
+@query(_SQL["excursions"])
+def streaming_excursions(spark, d):
+    limits = spark.createDataFrame([("click", 60.0, "max"), ("error", 30.0, "max"), ("view", 1.0, "min")], "event_type string, bound double, direction string")
+    found = monitor.excursions(monitor.event_stream(spark, f"{d}/events.parque[t]"), F.broadcast(limits))  # three fixed rows
+    return monitor.run_available(found, shared_dir(spark), "append").select("event_id", "user_id", "event_type", "value", "bound")

@@ -54,10 +54,34 @@ def excursions(events: DataFrame, limits: DataFrame) -> DataFrame:
     return j.filter(unsafe(F.col("value"), F.col("bound"), F.col("direction"))).select("event_id", "user_id", "event_type", "value", "bound")
 
 
-def window_counts(events: DataFrame, window: str = "1 hour", watermark: str | None = None) -> DataFrame:
-    """Counts and value sums of each tumbling window and type."""
+def zone_excursions(readings: DataFrame, inventory: DataFrame, limits: DataFrame) -> DataFrame:
+    """(event_id, zone_id, chemical, metric_name, current_value, control_ceiling, control_floor).
+
+    Readings of a zone are held against the limits of every chemical stored there;
+    ``inventory`` has zone_id and chemical, ``limits`` chemical, metric_name and the bounds.
+    Readings may be a stream.
+    """
+    j = readings.select("event_id", "zone_id", "metric_name", "current_value").join(inventory.select("zone_id", "chemical").distinct(), "zone_id").join(limits, ["chemical", "metric_name"])
+    beyond = F.coalesce(F.col("current_value") >= F.col("control_ceiling"), F.lit(False)) | F.coalesce(F.col("current_value") <= F.col("control_floor"), F.lit(False))
+    return j.filter(beyond).select("event_id", "zone_id", "chemical", "metric_name", "current_value", "control_ceiling", "control_floor")
+
+
+def last_alerts(alerts: DataFrame, events: DataFrame) -> DataFrame:
+    """(zone_id, last_alert): time of the last alert of each zone."""
+    return alerts.select("event_id", "zone_id").join(events.select("event_id", "ts"), "event_id").groupBy("zone_id").agg(F.max("ts").alias("last_alert"))
+
+
+def session_counts(events: DataFrame, gap: str = "30 minutes", watermark: str | None = None) -> DataFrame:
+    """Events of each device's sessions, which end after ``gap`` without any."""
+    e = events.withWatermark("ts", watermark) if watermark else events.withColumn("ts", F.col("ts").cast("timestamp"))
+    w = F.session_window("ts", gap).alias("w")
+    return e.groupBy("user_id", w).agg(F.count("*").alias("n")).select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
+
+
+def window_counts(events: DataFrame, window: str = "1 hour", watermark: str | None = None, slide: str | None = None) -> DataFrame:
+    """Counts and greatest values of each window and type; tumbling, or sliding by ``slide``."""
     e = events.withWatermark("ts", watermark) if watermark else events
-    return e.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.max("value").alias("max_value")).select(
+    return e.groupBy(F.window("ts", window, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.max("value").alias("max_value")).select(
         F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "max_value")
 
 
