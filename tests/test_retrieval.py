@@ -30,7 +30,7 @@ Q020,potasium permanganate,misspelled,potassium permanganate
 Q021,*chlorate,wildcard,sodium chlorate
 Q022,*chloride,wildcard,ferric chloride
 Q023,*ol,wildcard,ethanol; methanol; isopropyl alcohol
-Q024,sodium *,wildcard,
+Q024,sodium *,wildcard,sodium hydroxide; sodium chlorate; sodium hypochlorite
 Q025,*acid,wildcard,hydrochloric acid; sulfuric acid; nitric acid
 Q026,hydro*,wildcard,hydrochloric acid; hydrogen peroxide; sodium hydroxide
 Q027,*peroxide,wildcard,hydrogen peroxide
@@ -81,7 +81,8 @@ def test_malformed_wildcards_match_nothing(spark, pattern):
 def test_golden_set(spark, tmp_path):
     path = tmp_path / "queries.csv"
     path.write_text("query_id,query_text,category,expected_chemicals,notes\n" + "".join(line + ",\n" for line in GOLDEN.strip().split("\n")))
-    q = tables.read_query_set(spark, str(path), ["exact", "misspelled", "wildcard"]).filter("query_id <> 'Q024'")
+    q = tables.read_query_set(spark, str(path), ["exact", "misspelled", "wildcard"])
+    assert q.count() == 30
     v = tables.vocabulary(spark)
     names = q.filter("category <> 'wildcard'")
     top = retrieval.resolve(names.select(F.col("query_text").alias("query")), v).filter("rank = 1").select(F.col("query").alias("query_text"), "term")
