@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.bytesops import texts_of
-from tessera.llm.common import map_arrow, materialise
+from tessera.llm.common import map_arrow, materialise, unused
 from tessera.llm.components import connected_components
 
 RADIUS = 3
@@ -329,10 +329,10 @@ def fingerprint_hex(column):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def _row_key() -> tuple:
+def _row_key(names: list[str]) -> list:
     """Columns that tell rows apart but for copies under one doc_id, none of them null."""
     key = F.col("doc_id").cast("long")
-    return key.isNull().alias("_no_id"), F.coalesce(key, F.lit(0)).alias("_id"), F.xxhash64("text").alias("_th")
+    return [c.alias(n) for c, n in zip((key.isNull(), F.coalesce(key, F.lit(0)), F.xxhash64("text")), names)]
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
@@ -341,10 +341,10 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     Rows without a doc_id come after all others; among rows with one id the least text
     hash decides, and of copies under one id any one stays.
     """
-    names = ["_no_id", "_id", "_th"]
-    keyed = docs.select("*", *_row_key())
-    prints = map_arrow(keyed.select("_no_id", "_id", "_th", "text"), _key_finger_batches, "fp long, _no_id boolean, _id long, _th long")
-    ids = materialise(prints.groupBy("fp").agg(F.min(F.struct(*names)).alias("first")), "simhash-distinct")
-    least = _component_roots(ids, **options).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    names = [unused(docs.columns, x) for x in ("no_id", "id_key", "text_key")]
+    keyed = docs.select("*", *_row_key(names))
+    prints = map_arrow(keyed.select(*names, "text").toDF("no_id", "id_key", "text_key", "text"), _key_finger_batches, "fp long, no_id boolean, id_key long, text_key long")
+    ids = materialise(prints.groupBy("fp").agg(F.min(F.struct("no_id", "id_key", "text_key")).alias("first")), "simhash-distinct")
+    least = _component_roots(ids, **options).groupBy("root").agg(F.min("first").alias("first")).select("first.*").toDF(*names)
     # copies meet before the shuffle, so that many of them don't fall to one task
     return keyed.dropDuplicates(names).join(least, names, "left_semi").select(*docs.columns)

@@ -107,11 +107,12 @@ def test_many_rows_without_id_and_copies(spark, options):
 
 def test_clashing_names_everywhere(spark):
     text = " ".join(f"w{i}" for i in range(30))
-    rows = [(1, text, 1, 2, 3, 4, 5), (2, text, 1, 2, 3, 4, 5), (2, text, 1, 2, 3, 4, 5), (None, "short", 1, 2, 3, 4, 5)]
-    docs = spark.createDataFrame(rows, DOCS + ", marks int, mark_id int, MARK_TEXT int, n_tokens int, fp int")
+    rows = [(d, t, 1, 2, 3, 4, 5, 6) for d, t in ((1, text), (2, text), (2, text), (None, "short"))]
+    docs = spark.createDataFrame(rows, DOCS + ", marks int, mark_id int, MARK_TEXT int, n_tokens int, fp int, no_id int")
     cut = substring.cut_repeats(docs)
     assert cut.columns == docs.columns and sorted(len(r["text"].split()) for r in cut.collect()) == [0, 0, 1, 30]
-    assert simhash.drop_near_copies(docs).columns == docs.columns
+    alone = simhash.drop_near_copies(docs)
+    assert alone.columns == docs.columns and sorted(str(r["doc_id"]) for r in alone.collect()) == ["1", "None"]
     assert token_counts.token_counts(docs, queries.piece_model()).count() == 4
     assert packing.unpack_rows(packing.pack_documents(docs, queries.piece_model())).count() == 4
     pages = spark.createDataFrame([(1, "http://a.org/", "<p>", "x", "y"), (1, "http://a.org/", "<p>", "x", "y")], "page_id long, url string, html string, host string, verdict string")
