@@ -90,9 +90,11 @@ def reconcile(thresholds: DataFrame, keys: list[str] = KEYS, tolerance: float =
     Sources are summed up by authority first, so a group with very many is pre-aggregated.
     """
     fields = [c for c in thresholds.columns if c not in keys]
+    unit = F.xxhash64(F.lower(F.trim("unit")))
+    own_unit = F.when(F.col("unit").isNotNull(), unit)
     tiers = thresholds.groupBy(*keys, "authority_score").agg(
         F.count("*").alias("n"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.max(F.abs("value")).alias("abs"),
-        F.min_by(F.struct(*fields), F.struct("ord", "supplier_name")).alias("first"), (F.count_distinct(F.lower(F.trim("unit"))) > 1).alias("mixed"))
+        F.min_by(F.struct(*fields), F.struct("ord", "supplier_name")).alias("first"), F.coalesce(F.min(own_unit) < F.max(own_unit), F.lit(False)).alias("mixed"))
     top = tiers.groupBy(*keys).agg(F.sum("n").alias("n_sources"), F.max_by(F.struct("n", "hi", "lo", "abs", "first", "mixed", "authority_score"), "authority_score").alias("t"))
     magnitude = F.col("t.abs")
     spread = F.when((F.col("t.n") > 1) & (magnitude > 0), (F.col("t.hi") - F.col("t.lo")) / F.when(magnitude > 0, magnitude) * 100.0).otherwise(F.lit(0.0))
