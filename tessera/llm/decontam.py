@@ -47,7 +47,7 @@ SIGNS = 1
 FIT_BYTES = 1 << 24
 #: Characters of the items in a block.
 BLOCK_CHARS = 1 << 17
-#: Blocks of the benchmark that ``drop_leaks`` holds against the documents in one pass.
+#: Blocks of the benchmark that are held against the documents before a result is written.
 BLOCKS_A_PASS = 4
 
 _LEAD = np.uint64(46)
@@ -345,6 +345,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block_items: int = 256,
     for k, sent in enumerate(_fitted_blocks(docs, benchmark, block_items, rank)):
         found = map_arrow(docs, _search(sent, rules, keep_all), LEAK_DDL)
         result = found if k == 0 else result.unionByName(found)
+        if k % BLOCKS_A_PASS == BLOCKS_A_PASS - 1:
+            # the plan does not grow with the benchmark
+            result = materialise(result, "leaks")
     return result
 
 

@@ -38,6 +38,8 @@ ANCHOR = 7
 HOT = 4096
 #: Words of the segments behind one suffix automaton, and of a broadcast reference shard.
 SHARD_WORDS = 4096
+#: Broadcast shards whose spans are found before they are written.
+SHARDS_A_PASS = 8
 #: Repeated anchors whose Bloom filter may be broadcast; beyond it they are joined.
 BROADCAST_ANCHORS = FILTER_ROWS
 NO_ID = (1 << 63) - 1
@@ -429,8 +431,8 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, *, min_words:
 
     Returns doc_id and ``spans``, an array of maximal (first word, end word) pairs, each
     inside one reference text and at least ``min_words`` long, for documents with any.
-    Reference texts are dealt into shards of about ``shard_words`` words (a single longer
-    text makes its own); one shard at a time is built into an automaton, broadcast, and
+    Reference texts are dealt by hash into shards of ``shard_words`` words on average (one
+    with a longer text is larger); one shard at a time is built into an automaton, broadcast, and
     all documents stream through it.
     """
     spark = docs.sparkSession
@@ -448,6 +450,9 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, *, min_words:
         sent = spark.sparkContext.broadcast(automaton.close())
         part = map_arrow(docs, _span_batches(sent, min_words), "doc_id long, spans array<struct<first:int,stop:int>>")
         found = part if found is None else found.unionByName(part)
+        if shard % SHARDS_A_PASS == SHARDS_A_PASS - 1:
+            # the plan does not grow with the reference
+            found = materialise(found, "substring-spans")
     return found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
