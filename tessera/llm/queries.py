@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, langid, packing, quality, simhash, spm, substring, token_counts, toxicity, url_filter
+from tessera.llm import decontam, fim, langid, packing, quality, simhash, spm, substring, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +61,15 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.fingerprint_hex(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op13_fill_in_middle(spark, sf_dir):
+    return fim.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     own = [op1_decontamination, op2_toxicity, op3_token_counts, op4_url_filter, op5_sentencepiece,
-           op6_packing, op7_quality, op8_substring, op9_langid, op10_simhash]
+           op6_packing, op7_quality, op8_substring, op9_langid, op10_simhash, op13_fill_in_middle]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -83,6 +87,21 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_
 """
 
 
+#: Units, cut places and forms; the text is rebuilt by cutting the output at its marks.
+FIM_SQL = r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+d AS (SELECT doc_id, text, u, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+ CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(u[1:lo], '') AS pre, array_to_string(u[lo + 1:hi], '') AS mid, array_to_string(u[hi + 1:n], '') AS suf FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS output FROM p),
+b AS (SELECT *, regexp_split_to_array(output, '<P>|<S>|<M>') AS part FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+ sha256(output) AS output_sha256, sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN part[2] || part[4] || part[3] ELSE part[3] || part[4] || part[2] END) AS restored_sha256
+FROM b
+"""
+
+
 def url_sql(rounds: int = 40) -> str:
     """Rules, host edges and both walks, one round after the other."""
     rules = sorted(url_filter.RULES, key=lambda r: (-len(r.text), r.text))
@@ -119,4 +138,4 @@ def oracle_sql() -> dict[str, str]:
     The others use tokenizers, fitted models, hash functions or components that DuckDB
     lacks; the tests hold them against brute force, libraries and held-out labels.
     """
-    return {"op4_url_filter": url_sql(), "op8_substring": SUBSTRING_SQL}
+    return {"op4_url_filter": url_sql(), "op8_substring": SUBSTRING_SQL, "op13_fill_in_middle": FIM_SQL}
