@@ -122,7 +122,7 @@ def test_registry(spark):
     r = chat.Registry()
     r.register("n", "numbers", lambda n: spark.range(n))
     r.register("bad", "fails", lambda: 1 / 0)
-    assert r.call("n", n=3).count() == 3 and r.call("none") is None and "Error executing bad" in r.call("bad")
+    assert r.call("n", n=3).count() == 3 and r.call("none") is None and "bad failed" in r.call("bad")
 
 
 def test_severity(spark):
