@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, fim, langid, packing, quality, simhash, spm, substring, token_counts, toxicity, url_filter
+from tessera.llm import codes, decontam, fim, langid, packing, quality, simhash, spm, substring, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.fingerprint_hex(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op11_vector_codes(spark, sf_dir):
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark, sf_dir):
     return fim.digests(_table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     own = [op1_decontamination, op2_toxicity, op3_token_counts, op4_url_filter, op5_sentencepiece,
-           op6_packing, op7_quality, op8_substring, op9_langid, op10_simhash, op13_fill_in_middle]
+           op6_packing, op7_quality, op8_substring, op9_langid, op10_simhash, op11_vector_codes, op13_fill_in_middle]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -102,6 +106,31 @@ FROM b
 """
 
 
+def codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Integer Lloyd rounds: nearest entries by a minimum over all, then floors of means."""
+    def nearest(r: int) -> str:
+        d = "list_inner_product(p, p) - 2 * list_inner_product(p, c) + list_inner_product(c, c)"
+        return f"a{r} AS MATERIALIZED (SELECT vec_id, label, j, any_value(p) AS p, min(({d})::BIGINT * {entries} + e) AS m FROM part JOIN b{r} USING (j) GROUP BY 1, 2, 3)"
+
+    steps = []
+    for r in range(rounds):
+        steps.append(nearest(r))
+        steps.append(f"""b{r + 1} AS MATERIALIZED (SELECT b.j, b.e, coalesce(n.c, b.c) AS c FROM b{r} b LEFT JOIN (SELECT j, e, list(x ORDER BY i) AS c FROM
+ (SELECT j, e, i, floor(sum(x) / count(*)) AS x FROM (SELECT j, m % {entries} AS e, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS x FROM a{r}) GROUP BY 1, 2, 3) GROUP BY 1, 2) n ON n.j = b.j AND n.e = b.e)""")
+    steps.append(nearest(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT vec_id, label, j, v[j * (len(v) // {parts}) + 1:(j + 1) * (len(v) // {parts})] AS p FROM kept, (SELECT unnest(range({parts})) AS j)),
+seed AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {entries}),
+b0 AS MATERIALIZED (SELECT j, e, p AS c FROM part JOIN seed USING (vec_id)),
+{", ".join(steps)},
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', m % {entries}), '' ORDER BY j) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY 1, 2),
+book AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY j, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, book
+"""
+
+
 def url_sql(rounds: int = 40) -> str:
     """Rules, host edges and both walks, one round after the other."""
     rules = sorted(url_filter.RULES, key=lambda r: (-len(r.text), r.text))
@@ -138,4 +167,4 @@ def oracle_sql() -> dict[str, str]:
     The others use tokenizers, fitted models, hash functions or components that DuckDB
     lacks; the tests hold them against brute force, libraries and held-out labels.
     """
-    return {"op4_url_filter": url_sql(), "op8_substring": SUBSTRING_SQL, "op13_fill_in_middle": FIM_SQL}
+    return {"op4_url_filter": url_sql(), "op8_substring": SUBSTRING_SQL, "op11_vector_codes": codes_sql(), "op13_fill_in_middle": FIM_SQL}
