@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import codes, decontam, fim, langid, packing, quality, simhash, spm, substring, token_counts, toxicity, url_filter
+from tessera.llm import codes, decontam, fim, langid, packing, quality, setjoin, simhash, spm, substring, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_vector_codes(spark, sf_dir):
     return codes.compress(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_jaccard_join(spark, sf_dir):
+    return setjoin.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark, sf_dir):
     return fim.digests(_table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     own = [op1_decontamination, op2_toxicity, op3_token_counts, op4_url_filter, op5_sentencepiece,
-           op6_packing, op7_quality, op8_substring, op9_langid, op10_simhash, op11_vector_codes, op13_fill_in_middle]
+           op6_packing, op7_quality, op8_substring, op9_langid, op10_simhash, op11_vector_codes, op12_jaccard_join, op13_fill_in_middle]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
