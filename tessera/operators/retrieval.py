@@ -9,24 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.functions.text import kgrams, normalised, sound_code
+from tessera.operators.numbering import numbered
 
 MAX_EDITS = 2
 MAX_CANDIDATES = 5
-LEAD = 3
 
 
 def ordered(names: DataFrame) -> DataFrame:
-    """(ord, term): distinct names numbered from 1 in their order.
-
-    Names are numbered inside ranges, those that share their first ``LEAD`` characters, and
-    moved on by the counts of the ranges before: one row a range meets in one task.
-    """
-    cut = names.select("term").distinct().withColumn("_range", F.substring("term", 1, LEAD))
-    counts = cut.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(W.partitionBy("_range").orderBy("term"))
-    return cut.join(offsets, "_range").select((F.col("_before") + own).cast("int").alias("ord"), "term")
+    """(ord, term): distinct names numbered from 1 in their order."""
+    return numbered(names.select("term").distinct(), ["term"], "ord").select(F.col("ord").cast("int").alias("ord"), "term")
 
 
 def kgram_index(vocabulary: DataFrame, k: int = 3) -> DataFrame:
@@ -40,19 +31,57 @@ def kgram_candidates(queries: DataFrame, index: DataFrame, *, k: int = 3, min_ov
     return grams.join(index, "gram").groupBy("query", "term").agg(F.count("*").alias("overlap")).filter(F.col("overlap") >= min_overlap)
 
 
-def edit_matches(candidates: DataFrame, *, max_edits: int = MAX_EDITS, limit: int = MAX_CANDIDATES) -> DataFrame:
-    """(query, term, distance, rank): nearest candidates, then most overlap, then by term."""
-    near = candidates.withColumn("distance", F.levenshtein("query", F.lower("term"), max_edits)).filter("distance >= 0")
+def rare_grams(texts: DataFrame, column: str, counts: DataFrame, k: int, max_edits: int) -> DataFrame:
+    """(column, size, gram): the ``k * max_edits + 1`` rarest grams of each text, and its length.
+
+    ``counts`` has the number of terms of each gram; grams that it lacks are the rarest.
+    """
+    cut = texts.select(column).distinct().select(column, F.length(column).alias("size"), F.explode(kgrams(F.col(column), k)).alias("gram"))
+    found = cut.join(counts, "gram", "left").groupBy(column, "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("terms", F.lit(0)).alias("terms"), "gram"))).alias("grams"))
+    return found.select(column, "size", F.explode(F.slice("grams", 1, k * max_edits + 1)).alias("g")).select(column, "size", "g.gram")
+
+
+def near_pairs(queries: DataFrame, vocabulary: DataFrame, *, k: int = 3, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(query, term, overlap, distance): terms within ``max_edits`` that share a gram.
+
+    One edit changes at most k grams, so of a pair's grams each side lacks at most
+    ``k * max_edits``; in one order of all grams, rarest first, the first
+    ``k * max_edits + 1`` of both then have one in common.  Only these are joined, and only
+    at lengths that differ by ``max_edits`` at most: frequent grams such as ``$a`` come last
+    and are joined for the shortest names alone.  Nothing is lost against joining all grams.
+
+    Queries are in lower case, or have letters whose lower case is one letter too.
+    """
+    terms = vocabulary.select(F.lower("term").alias("low"), "term").distinct()
+    counts = terms.select("low").distinct().select(F.explode(kgrams(F.col("low"), k)).alias("gram")).groupBy("gram").agg(F.count("*").alias("terms"))
+    asked = rare_grams(queries, "query", counts, k, max_edits)
+    held = rare_grams(terms, "low", counts, k, max_edits)
+    lengths = F.sequence(F.greatest(F.col("size") - max_edits, F.lit(0)), F.col("size") + max_edits)
+    met = asked.select("query", "gram", F.explode(lengths).alias("size")).join(held, ["gram", "size"]).select("query", "low").distinct()
+    near = met.withColumn("distance", F.levenshtein("query", "low", max_edits)).filter("distance >= 0")
+    overlap = F.size(F.array_intersect(kgrams(F.col("query"), k), kgrams(F.col("low"), k)))
+    return near.join(terms, "low").select("query", "term", overlap.cast("long").alias("overlap"), "distance")
+
+
+def nearest(near: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
+    """(query, term, distance, rank): least distance, then most overlap, then by term."""
     best = W.partitionBy("query").orderBy("distance", F.desc("overlap"), "term")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit).select("query", "term", "distance", "rank")
 
 
+def edit_matches(candidates: DataFrame, *, max_edits: int = MAX_EDITS, limit: int = MAX_CANDIDATES) -> DataFrame:
+    """``nearest`` among candidates (query, term, overlap)."""
+    return nearest(candidates.withColumn("distance", F.levenshtein("query", F.lower("term"), max_edits)).filter("distance >= 0"), limit)
+
+
 def sound_matches(queries: DataFrame, vocabulary: DataFrame, *, limit: int = MAX_CANDIDATES) -> DataFrame:
-    """(query, term, rank): terms of equal phonetic code, in vocabulary order."""
-    q = queries.select("query", sound_code(F.col("query")).alias("code"))
+    """(query, term, rank): terms of equal phonetic code, in vocabulary order.
+
+    The rank depends on the code alone: the first terms of each code are kept before the join.
+    """
     v = vocabulary.select("ord", "term", sound_code(F.col("term")).alias("code"))
-    order = W.partitionBy("query").orderBy("ord", "term")
-    return q.join(v, "code").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query", "term", "rank")
+    first = v.withColumn("rank", F.row_number().over(W.partitionBy("code").orderBy("ord", "term"))).filter(F.col("rank") <= limit)
+    return queries.select("query", sound_code(F.col("query")).alias("code")).join(first, "code").select("query", "term", "rank")
 
 
 def resolve(queries: DataFrame, vocabulary: DataFrame, *, k: int = 3, max_edits: int = MAX_EDITS, limit: int = MAX_CANDIDATES) -> DataFrame:
@@ -66,7 +95,7 @@ def resolve(queries: DataFrame, vocabulary: DataFrame, *, k: int = 3, max_edits:
     exact = forms.join(vocabulary.select("ord", "term", F.lower("term").alias("query")), "query")
     exact = exact.select("query", "term", F.lit("exact").alias("stage"), F.lit(0).alias("distance"), F.row_number().over(W.partitionBy("query").orderBy("ord", "term")).alias("rank"))
     open1 = forms.join(exact.select("query").distinct(), "query", "left_anti")
-    near = edit_matches(kgram_candidates(open1, kgram_index(vocabulary, k), k=k), max_edits=max_edits, limit=limit)
+    near = nearest(near_pairs(open1, vocabulary, k=k, max_edits=max_edits), limit)
     near = near.select("query", "term", F.lit("edit_distance").alias("stage"), "distance", "rank")
     sound = sound_matches(open1, vocabulary, limit=limit).select("query", "term", F.lit("soundex").alias("stage"), F.lit(None).cast("int").alias("distance"), "rank")
     # both stages in one go: phonetic matches only stay where the nearer ones are missing

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tessera.functions.text import jaccard, shingles, tokens
+from tessera.functions.text import SEPARATORS, jaccard, shingles, tokens
 from tessera.sources.shared import written
 
 
 def inverted_index(docs: DataFrame) -> DataFrame:
     """(term, doc_id, tf)."""
-    return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    term = docs.select("doc_id", F.explode(F.split(F.lower("text"), SEPARATORS)).alias("term")).filter("term <> ''")
+    return term.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
 def positional_index(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.functions.text import normalised
+from tessera.operators.numbering import numbered
 from tessera.operators.evidence import HAZARD_JACCARD, TOLERANCE_PERCENT, hazard_conflicts, reconcile
 
 SAFE, WARNING, UNKNOWN = "SAFE", "WARNING", "UNKNOWN"
@@ -56,25 +57,9 @@ def evaluate(readings: DataFrame, thresholds: DataFrame, *, tolerance: float = T
                          F.when(compared, p).alias("provenance"), F.when(compared, what).otherwise(F.concat(F.lit("UNKNOWN: "), why)).alias("reasoning"))
 
 
-def numbered(df: DataFrame, key: str, name: str, *, start: int = 1, bucket: int = 100_000) -> DataFrame:
-    """Number rows 1, 2, ... by an integer key, without sending them all to one task.
-
-    ``df`` is read twice: write it as a table first if it takes much to compute.
-
-    Keys are cut into ranges of ``bucket``; each range is numbered by itself and moved on
-    by the counts of the ranges before it.  Only one row a range meets in one place.
-    """
-    cut = df.withColumn("_range", F.floor(F.col(key) / F.lit(bucket)))
-    counts = cut.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(W.partitionBy("_range").orderBy(key))
-    return cut.join(offsets, "_range").withColumn(name, F.col("_before") + own + (start - 1)).drop("_range", "_before")
-
-
 def alerts(verdicts: DataFrame, key: str = "event_id") -> DataFrame:
     """One pending alert for each WARNING, numbered by ``key``."""
-    return numbered(verdicts.filter(F.col("state") == WARNING), key, "alert_no").withColumn("alert_id", F.concat(F.lit("ALT_"), F.when(F.col("alert_no") < 10000, F.lpad(F.col("alert_no").cast("string"), 4, "0")).otherwise(F.col("alert_no").cast("string")))).withColumn("status", F.lit("PENDING_SIGN_OFF"))
+    return numbered(verdicts.filter(F.col("state") == WARNING), [key], "alert_no").withColumn("alert_id", F.concat(F.lit("ALT_"), F.when(F.col("alert_no") < 10000, F.lpad(F.col("alert_no").cast("string"), 4, "0")).otherwise(F.col("alert_no").cast("string")))).withColumn("status", F.lit("PENDING_SIGN_OFF"))
 
 
 def sign_off(alert_queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

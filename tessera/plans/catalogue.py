@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tessera.functions.text import jaccard, shingle_hashes, shingles, sound_code, tokens
-from tessera.operators import chat, evidence, metrics, mining, retrieval, search, severity, verdict
+from tessera.operators import chat, evidence, metrics, mining, ranked, retrieval, search, severity, verdict
 from tessera.sources import tables
 from tessera.sources.shared import shared_dir, written
 from tessera.sources.tables import table
@@ -117,7 +117,7 @@ def kgram_candidates(spark, d):
 SELECT query, term, CAST(distance AS INT) AS distance, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, overlap DESC, term) AS rank FROM
 (SELECT query, term, overlap, levenshtein(query, lower(term)) AS distance FROM cand) WHERE distance <= 2) WHERE rank <= 5""")
 def edit_distance_match(spark, d):
-    return retrieval.edit_matches(retrieval.kgram_candidates(_misspelt(spark, d), retrieval.kgram_index(_names(spark, d))))
+    return retrieval.nearest(retrieval.near_pairs(_misspelt(spark, d), _names(spark, d)))
 
 
 @query(f"WITH {_CASCADE} SELECT * FROM res")
@@ -541,6 +541,16 @@ def index_elimination(spark, d):
     return search.tfidf_search(_documents(spark, d), table(spark, d, "benchmark"), k=5, least_idf=4.0, least_jaccard=0.01)
 
 
+@query(f"WITH {_ranked_sql('0', '0', 5)} SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM rk")
+def block_bound_search(spark, d):
+    return ranked.tfidf_search(_documents(spark, d), table(spark, d, "benchmark"), k=5)
+
+
+@query(f"WITH {_ranked_sql('4.0', '0.01', 5)} SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM rk")
+def block_bound_elimination(spark, d):
+    return ranked.tfidf_search(_documents(spark, d), table(spark, d, "benchmark"), k=5, least_idf=4.0, least_jaccard=0.01)
+
+
 def _retrieved(spark, d):
     docs, items = _documents(spark, d), table(spark, d, "benchmark").select("item_id", "text")
     ranked = search.tfidf_search(docs, items, k=10)
