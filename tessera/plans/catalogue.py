@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tessera.functions.text import jaccard, shingle_hashes, shingles, sound_code, tokens
 from tessera.operators import chat, evidence, metrics, mining, ranked, retrieval, search, severity, verdict
-from tessera.sources import tables
-from tessera.sources.shared import shared_dir, written
+from tessera.sources import tables, topics
+from tessera.sources.committed import CommittedTable
+from tessera.sources.shared import shared_dir, temporary, written
 from tessera.sources.tables import table
-from tessera.streaming import monitor
+from tessera.streaming import monitor, stateful
 
 METRICS = ["click", "error", "purchase", "signup", "view"]
 TIERS = [*evidence.AUTHORITY, "Other"]
@@ -321,8 +322,7 @@ def _verdicts(spark, d):
 
 
 def _alerts(spark, d):
-    # numbering reads the warnings twice
-    warnings = written(_verdicts(spark, d).filter(F.col("state") == verdict.WARNING).select("event_id", "zone_id", "chemical", "state"), "warnings")
+    warnings = _verdicts(spark, d).filter(F.col("state") == verdict.WARNING).select("event_id", "zone_id", "chemical", "state")
     return verdict.alerts(warnings).select("event_id", "zone_id", "chemical", "alert_no", "alert_id", "status")
 
 
@@ -656,6 +656,68 @@ def streaming_window_counts(spark, d):
     return monitor.run_available(stream, shared_dir(spark))
 
 
+def _event_log(spark, d):
+    """A new log with all events, and where it lies."""
+    path = temporary(spark, "topics")
+    log = topics.topic_log(spark, path)
+    topics.publish(log, monitor.as_messages(table(spark, d, "events")), 0)
+    return log, path
+
+
+def _clocked(spark, d):
+    """Events off the topics, with a last message past all watermarks."""
+    log, path = _event_log(spark, d)
+    topics.publish(log, monitor.clock(spark, "2200-01-01 00:00:00"), 1)
+    return monitor.as_events(topics.stream_topics(spark, path))
+
+
+def _ddl(df):
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _streamed(stream, label):
+    spark = stream.sparkSession
+    out = CommittedTable(spark, temporary(spark, label), _ddl(stream))
+    monitor.run_to_end(stream, out, temporary(spark, f"{label}-checkpoint"))
+    return out.read()
+
+
+@query("SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+def streaming_rate_limit(spark, d):
+    """Timers close each device's windows; the state is that of open windows alone."""
+    return _streamed(stateful.rate_limited(_clocked(spark, d), 1), "rate-limit")
+
+
+@query("""SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS silent_since FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM (SELECT DISTINCT user_id, ts FROM events))
+WHERE nxt IS NULL OR nxt - ts > INTERVAL 1 DAY""")
+def silence_alarms(spark, d):
+    """Devices without an event for over a day, by timers."""
+    return _streamed(stateful.silent(_clocked(spark, d), gap_seconds=86_400), "silence")
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, max(value) AS max_value FROM events GROUP BY 1, 2")
+def topic_window_counts(spark, d):
+    """Events of odd and of even ids come in two runs of one stream: the second goes on from offsets."""
+    path = temporary(spark, "topics")
+    log, events = topics.topic_log(spark, path), table(spark, d, "events")
+    out = CommittedTable(spark, temporary(spark, "received"), topics.MESSAGE)
+    checkpoint = temporary(spark, "received-checkpoint")
+    for batch in (0, 1):
+        topics.publish(log, monitor.as_messages(events.filter(F.col("event_id") % 2 == batch)), batch)
+        monitor.run_to_end(topics.stream_topics(spark, path, "events/+"), out, checkpoint)
+    return monitor.window_counts(monitor.as_events(out.read()))
+
+
+@query(f"WITH {_ALERTS} SELECT alert_id, event_id, zone_id FROM al2")
+def committed_alerts(spark, d):
+    """Alerts of a batch that is tried twice: the second try adds nothing."""
+    rows = written(_alerts(spark, d).select("alert_id", "event_id", "zone_id"), "alerts")
+    audit = CommittedTable(spark, temporary(spark, "audit"), _ddl(rows))
+    for _ in range(2):
+        audit.append(rows, 0)
+    return audit.read()
+
+
 @query("""SELECT p_partkey, CAST(p_size % 5 AS INT) AS nfpa_health, CAST(p_partkey % 5 AS INT) AS nfpa_flammability, CAST(p_size % 4 AS INT) AS nfpa_instability, CAST(p_size % 9 AS INT) AS ghs_count,
 CASE WHEN p_size % 5 <= 1 THEN 'LOW' WHEN p_size % 5 <= 2 THEN 'MEDIUM' WHEN p_size % 5 <= 3 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, 1.0::DOUBLE AS confidence FROM part""")
 def severity_predictions(spark, d):

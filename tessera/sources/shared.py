@@ -28,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+def temporary(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what comes to lie there goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder, where a plan reads it more than once.
 
@@ -35,8 +43,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     table goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
+    path = temporary(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.operators.verdict import unsafe
+from tessera.sources.committed import batch_sink
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -98,6 +99,8 @@ def run_available(stream: DataFrame, shared: str, mode: str = "complete") -> Dat
     """
     spark = stream.sparkSession
     base = f"{shared.rstrip('/')}/tessera-stream-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)  # when the driver ends
 
     def write(batch: DataFrame, number: int) -> None:
         part = "result" if mode == "complete" else f"result/batch={number}"
@@ -106,3 +109,34 @@ def run_available(stream: DataFrame, shared: str, mode: str = "complete") -> Dat
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/result")
+
+
+def as_messages(events: DataFrame) -> DataFrame:
+    """Events as messages (topic, key, value, ts) on a topic for each type, by device."""
+    value = F.to_json(F.struct("event_id", "user_id", "event_type", "value", "props"))
+    return events.select(F.concat(F.lit("events/"), "event_type").alias("topic"), F.col("user_id").cast("string").alias("key"), value.alias("value"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def clock(spark: SparkSession, ts: str) -> DataFrame:
+    """One message that only says what time it is."""
+    return spark.sql("SELECT 'clock' AS topic, '-1' AS key, '{\"user_id\": -1, \"event_type\": \"clock\"}' AS value, CAST(:ts AS timestamp) AS ts", args={"ts": ts})
+
+
+def as_events(messages: DataFrame) -> DataFrame:
+    """The events again, of a table or a stream of messages."""
+    fields = "event_id long, user_id long, event_type string, value double, props string"
+    return messages.select(F.from_json("value", fields).alias("v"), "ts").select("v.*", "ts")
+
+
+def run_to_end(stream: DataFrame, table, checkpoint: str) -> None:
+    """Run a stream over what is there now, into a table of committed batches.
+
+    Started again with the same checkpoint it goes on where it was; a batch that Spark runs
+    twice is added once.
+    """
+    # batches without rows run too, so that timers see the last watermark
+    query = stream.writeStream.outputMode("append").foreachBatch(batch_sink(table)).option("checkpointLocation", checkpoint).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
