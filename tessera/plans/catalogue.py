@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tessera.functions.text import jaccard, shingle_hashes, shingles, sound_code, tokens
-from tessera.operators import chat, evidence, metrics, mining, ranked, retrieval, search, severity, verdict
+from tessera.operators import chat, crawl, evidence, metrics, mining, ranked, retrieval, search, severity, similar, verdict
+from tessera.operators.stored import StoredIndex
 from tessera.sources import tables, topics
 from tessera.sources.committed import CommittedTable
 from tessera.sources.shared import shared_dir, temporary, written
@@ -273,6 +274,17 @@ def jaccard_pairs(spark, d):
     return pairs.join(sets, "doc_id").join(prev, "prev_id").select("doc_id", "prev_id", jaccard(F.col("s"), F.col("ps")).alias("similarity"))
 
 
+@query("""WITH d AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> ''))) AS s FROM documents),
+c AS (SELECT min(doc_id) AS id, s, count(*) AS copies FROM d WHERE len(s) > 0 GROUP BY s), t AS (SELECT id, unnest(s) AS t FROM c),
+m AS (SELECT a.id AS i, b.id AS j, count(*) AS shared FROM t a JOIN t b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2)
+SELECT i AS left_id, j AS right_id, x.copies AS left_copies, y.copies AS right_copies, round(shared / (len(x.s) + len(y.s) - shared), 9) AS similarity
+FROM m JOIN c x ON x.id = i JOIN c y ON y.id = j WHERE 100 * shared >= 80 * (len(x.s) + len(y.s) - shared)""")
+def set_similarity_join(spark, d):
+    """Pairs of documents whose sets of words are alike by 0.8 and more."""
+    sets = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t))).alias("items"))
+    return similar.similar_sets(sets)
+
+
 @query(f"WITH {_SRC}, {_PAIRS} SELECT chemical, metric_name, i AS left_ord, j AS right_ord, left_supplier, right_supplier, similarity FROM haz")
 def hazard_conflicts(spark, d):
     return evidence.hazard_conflicts(_sources(spark, d).select("chemical", "metric_name", "ord", "supplier_name", "hazard_statements"))
@@ -517,6 +529,18 @@ def proximity_query(spark, d):
     return p.select("doc_id", F.col("distance").cast("long").alias("distance"))
 
 
+@query(_SQL["phrase_query"])
+def stored_phrase(spark, d):
+    return StoredIndex.build(_documents(spark, d), temporary(spark, "stored")).phrase("of the")
+
+
+@query(_SQL["proximity_query"])
+def stored_proximity(spark, d):
+    left, within, right = search.parse_proximity("of the /10 with")
+    p = StoredIndex.build(_documents(spark, d), temporary(spark, "stored")).proximity(left, right, within)
+    return p.select("doc_id", F.col("distance").cast("long").alias("distance"))
+
+
 _TFIDF = f"""{_TOK}, ix AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2), nd AS (SELECT count(*) AS n FROM documents),
 idf AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM ix, nd GROUP BY term, n),
 wt AS (SELECT term, doc_id, tf * idf AS w FROM ix JOIN idf USING (term)), nm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm, count(*) AS dt FROM wt GROUP BY 1),
@@ -623,6 +647,24 @@ def link_frontier(spark, d):
     return tables.link_frontier(table(spark, d, "pages"), r"example\.(org|net)$")
 
 
+#: Made-up robots rules (host, allow, path) and delays of the pages' hosts.
+_ROBOTS = [("*", False, "/en/1"), ("*", True, "/en/1*9"), ("example.net", False, "/"), ("example.net", True, "/*/2"), ("example.net", False, "/de/2$"), ("example.net", True, "/fr")]
+_DELAYS = [("example.net", 2.5)]
+
+
+@query(f"""WITH f AS ({_SQL["link_frontier"]}), h AS (SELECT url, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS p0 FROM f),
+p AS (SELECT url, host, CASE WHEN starts_with(p0, '/') THEN p0 ELSE '/' || p0 END AS path FROM h),
+a AS (SELECT url, host, CASE WHEN host = 'example.net' THEN CASE WHEN path = '/de/2' THEN false WHEN regexp_matches(path, '^/.*/2') THEN true WHEN starts_with(path, '/fr') THEN true ELSE false END
+ ELSE CASE WHEN regexp_matches(path, '^/en/1.*9') THEN true WHEN starts_with(path, '/en/1') THEN false ELSE true END END AS allowed FROM p)
+SELECT url, host, CAST(row_number() OVER (PARTITION BY host ORDER BY url) - 1 AS BIGINT) AS turn, (row_number() OVER (PARTITION BY host ORDER BY url) - 1) * CASE WHEN host = 'example.net' THEN 2.5::DOUBLE ELSE 1.0 END AS at_seconds FROM a WHERE allowed""")
+def crawl_schedule(spark, d):
+    """Links that the rules allow, each host's one after the other."""
+    rules = spark.createDataFrame(_ROBOTS, "host string, allow boolean, path string")
+    delays = spark.createDataFrame(_DELAYS, "host string, seconds double")
+    open_urls = crawl.allowed(link_frontier(spark, d).select("url"), rules).filter("allowed")
+    return crawl.schedule(open_urls, delays)
+
+
 @query("""SELECT event_id, user_id, event_type, value, CAST(json_extract(props, '$.k') AS INT) AS k, CASE WHEN value IS NULL OR isnan(value) THEN 'no_value' WHEN value < 0.5 OR value > 80 THEN 'out_of_range' WHEN json_extract(props, '$.k') IS NULL THEN 'bad_props' ELSE 'ok' END AS reason FROM events""")
 def telemetry_validation(spark, d):
     return monitor.validation(table(spark, d, "events"), 0.5, 80.0)

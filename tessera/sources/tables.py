@@ -61,6 +61,20 @@ def read_jdbc(spark: SparkSession, url: str, name: str, **options) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
 
 
+def read_jdbc_parts(spark: SparkSession, url: str, name: str, column: str, *, parts: int = 8, where: str | None = None, **options) -> DataFrame:
+    """A table read in ``parts`` ranges of a whole-number column, each a query of its own.
+
+    The database itself finds the least and the greatest value; rows without one come with
+    the first range.  ``where`` is part of every query.  Names are taken as they are written.
+    """
+    source = f"(SELECT * FROM {name} WHERE {where})" if where else name
+    bounds = f'(SELECT MIN("{column}") AS lo, MAX("{column}") AS hi FROM {source} span) part_bounds'
+    row = read_jdbc(spark, url, bounds, **options).toDF("lo", "hi").first()
+    if row["lo"] is None:
+        return read_jdbc(spark, url, f"{source} part_rows", **options)
+    return read_jdbc(spark, url, f"{source} part_rows", partitionColumn=column, lowerBound=str(row["lo"]), upperBound=str(row["hi"] + 1), numPartitions=str(parts), **options)
+
+
 def write_report(metrics: DataFrame, path: str, title: str = "Entity resolution") -> str:
     """Markdown table of the per-category metrics, one row a category."""
     rows = metrics.orderBy("category").toLocalIterator()
