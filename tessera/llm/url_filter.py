@@ -105,11 +105,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(tree).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 40, settle_every: int = 5, tolerance: float = 1e-4) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, ratio: float = 1.0, tie: float = 1e-9, settle_every: int = 5, rounds: int | None = None) -> DataFrame:
     """Trust and distrust of every host by personalised PageRank.
 
-    Rounds end when the ranks of all hosts together have moved by at most ``tolerance`` in
-    ``settle_every`` of them, or after ``rounds``.
+    Rounds go on until they can change no host's verdict: no host was reached anew, and for
+    each host ``ratio`` times trust and distrust are further apart than all that is still to
+    come, or differ by less than ``tie`` of their sum with less than that to come.  What is
+    to come is bounded by the last moves of all ranks, which shrink by the damping each
+    round.  With ``rounds`` exactly as many are made.
 
     ``seeds`` has host, trusted and blocked (weights).  Both walks run in one table, with
     a kind column; distrust goes against the edges.  What would leave a host without
@@ -122,25 +125,37 @@ def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds:
     sums = start.groupBy("kind").agg(F.sum("w").alias("all"))
     start = materialise(start.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("w") / F.col("all")).alias("rank")), "url-seeds")
     rank = settled = start
-    for i in range(rounds):
+    reached, done, i = -1, False, 0
+    while not done:
         moved = rank.join(step, (rank["kind"] == step["kind"]) & (rank["host"] == step["src"])).select(rank["kind"], F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         rank = moved.union(start.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if (i + 1) % settle_every == 0 or i + 1 == rounds:
-            rank = materialise(rank, "url-rank")
-            moved = rank.select("kind", "host", "rank").union(settled.select("kind", "host", -F.col("rank"))).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("by"))
-            done = (moved.agg(F.sum("by")).first()[0] or 0.0) <= tolerance
-            if settled is not start:
-                discard(settled)
-            settled = rank
-            if done:
-                break
+        i += 1
+        if i % settle_every and i != rounds:
+            continue
+        rank = materialise(rank, "url-rank")
+        if rounds is None:
+            both = rank.withColumn("move", F.col("rank")).union(settled.select("kind", "host", F.lit(0.0), -F.col("rank")))
+            both = both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.abs(F.sum("move")).alias("move"))
+            weight = F.when(F.col("kind") == "t", F.lit(ratio)).otherwise(F.lit(1.0))
+            left = both.agg(F.count("*").alias("n"), F.sum(weight * F.col("move")).alias("moved")).first()
+            fade = damping ** settle_every
+            ahead = (left["moved"] or 0.0) * fade / (1 - fade)
+            sides = both.withColumn("w", weight * F.col("rank")).groupBy("host").agg(F.abs(F.sum(F.when(F.col("kind") == "t", F.col("w")).otherwise(-F.col("w")))).alias("apart"), F.sum("w").alias("all"))
+            open_hosts = sides.filter((F.col("apart") <= ahead) & ((F.col("apart") > tie * F.col("all")) | (F.lit(ahead) > tie * F.col("all"))))
+            done = left["n"] == reached and open_hosts.isEmpty()
+            reached = left["n"]
+        else:
+            done = i >= rounds
+        if settled is not start:
+            discard(settled)
+        settled = rank
     discard(step)
     return rank.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "t", F.col("rank")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "d", F.col("rank")).otherwise(0.0)).alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule] = RULES, *, ratio: float = 1.0, **walk) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule] = RULES, *, ratio: float = 1.0, tie: float = 1e-9, **walk) -> DataFrame:
     """page_id, host, path, rule, verdict, and the trust and distrust of the host.
 
     A host's seed weights are the shares of its pages that rules allow and block.
@@ -151,9 +166,10 @@ def judge_urls(pages: DataFrame, rules: list[Rule] = RULES, *, ratio: float = 1.
     seeds = materialise(judged.filter("host <> ''").groupBy("host").agg(
         F.avg((F.coalesce(F.col("ruled") == "allow", F.lit(False))).cast("double")).alias("trusted"),
         F.avg((F.coalesce(F.col("ruled") == "block", F.lit(False))).cast("double")).alias("blocked")), "url-hosts")
-    ranks = spread(host_edges(base.select("host", "html")), seeds, **walk).withColumnRenamed("host", "_host")
+    ranks = spread(host_edges(base.select("host", "html")), seeds, ratio=ratio, tie=tie, **walk).withColumnRenamed("host", "_host")
     # pages of a hot host meet one row of ranks; AQE splits such a join where it shuffles
     found = judged.join(ranks, judged["host"] == ranks["_host"], "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    host_verdict = F.when(distrust > ratio * trust, "block").otherwise("allow")
+    # sums of doubles differ in their last digits with the order of rows: no verdict hangs on these
+    host_verdict = F.when(distrust - ratio * trust > tie * (distrust + ratio * trust), "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("ruled", host_verdict).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
