@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tessera.functions.text import jaccard, shingle_hashes, shingles, sound_code, tokens
+from tessera.functions.text import DOMAIN_TOKEN, PROTECTED, STOP_WORDS, SUFFIXES, domain_tokens, jaccard, shingle_hashes, shingles, sound_code, stem, tokens
 from tessera.operators import chat, crawl, evidence, metrics, mining, ranked, retrieval, search, severity, similar, verdict
 from tessera.operators.stored import StoredIndex
 from tessera.sources import tables, topics
@@ -634,6 +634,22 @@ def identifier_extraction(spark, d):
     return tables.identifiers(_documents(spark, d), ["email", "phone"])
 
 
+def _stem_sql(t: str) -> str:
+    cases = " ".join(f"WHEN ends_with({t}, '{x}') AND length({t}) >= {len(x) + 3} THEN left({t}, length({t}) - {len(x)})" for x in SUFFIXES)
+    words = ", ".join(f"'{w}'" for w in PROTECTED)
+    return f"CASE WHEN {t} IN ({words}) OR regexp_matches({t}, '^[0-9]|-[0-9]') THEN {t} {cases} ELSE {t} END"
+
+
+@query(f"""SELECT {_stem_sql('t')} AS stem, count(*) AS n, count(DISTINCT t) AS n_forms FROM (SELECT lower(unnest(regexp_extract_all(body, '{DOMAIN_TOKEN}'))) AS t FROM
+(SELECT text AS body FROM documents UNION ALL SELECT 'sodium chlorate and chlorides of ' || lower(p_name) || ', ' || p_type || 'ings' FROM part)) WHERE t NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)}) GROUP BY 1""")
+def selective_stems(spark, d):
+    """Stems of the documents and of a line for each part; protected words such as chlorate stay apart."""
+    line = F.concat(F.lit("sodium chlorate and chlorides of "), F.lower("p_name"), F.lit(", "), "p_type", F.lit("ings"))
+    body = table(spark, d, "documents").select(F.col("text").alias("body")).union(table(spark, d, "part").select(line))
+    word = body.select(F.explode(domain_tokens(F.col("body"))).alias("t")).filter(~F.col("t").isin(STOP_WORDS))
+    return word.groupBy(stem(F.col("t")).alias("stem")).agg(F.count("*").alias("n"), F.count_distinct("t").alias("n_forms"))
+
+
 @query("SELECT doc_id, CAST(i - 1 AS INT) AS section, CAST(length(l) AS INT) AS n_chars FROM (SELECT doc_id, unnest(s) AS l, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))")
 def section_split(spark, d):
     return tables.line_sections(_documents(spark, d))
