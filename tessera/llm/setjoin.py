@@ -9,8 +9,11 @@ a group have alike, no more may differ than shingles may.  None of these filters
 link.  What is left is expanded to members and verified on the whole sets.
 
 Links only have to connect.  First every list and group yields a forest of candidates, so a
-crowd of near copies costs about one verification a member, not one a pair; then every
-pair of groups from different components that still passes the filters is verified too.
+crowd of near copies costs about one verification a member, not one a pair.  What passes a
+filter lies inside one component of these candidates; where all candidates of a component
+link, nothing is left to find in it.  The others, whose members are about as alike as the
+bound, are expanded to members with wider bitmaps: another forest, then every pair of
+members from different components that still passes is verified.
 Long lists are cut into parts and each pair of parts is a task's unit, so nothing grows
 with a list.  The order comes from a sketch of shingle counts of fixed size: a poor count
 only makes a list longer, it never changes a row.
@@ -38,8 +41,11 @@ from tessera.llm.simhash import _Groups
 SHINGLE, PERCENT = 3, 90
 #: Counters of the sketch, and the part of all hashes, the least ones, that it counts:
 #: prefixes of cold shingles are made of these.
-BUCKETS, COUNTED = 1 << 21, np.uint64(1 << 62)
+BUCKETS, COUNTED = 1 << 20, np.uint64(1 << 62)
 TILE = 1024
+#: Items to a 64-bit word of a bitmap: of the groups, and of members about the bound, where
+#: few of a pair's differences may meet in one bit.
+NARROW, WIDE = 128, 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -91,9 +97,17 @@ def frequent_buckets(docs: DataFrame, shingle: int) -> np.ndarray:
     return np.packbits(counts > 64 + 4 * counts.mean(), bitorder="little")
 
 
-def map_words(n: np.ndarray) -> np.ndarray:
-    """64-bit words of the parity bitmap of a set of n: a power of two, at least n / 128."""
-    return 1 << np.ceil(np.log2(np.maximum(n, 128) / 128)).astype(np.int64)
+def map_words(n: np.ndarray, share: int) -> np.ndarray:
+    """64-bit words of the parity bitmap of a set of n: a power of two, at least n / share."""
+    return 1 << np.ceil(np.log2(np.maximum(n, share) / share)).astype(np.int64)
+
+
+def _bitmaps(h: np.ndarray, which: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Parity of the hashes at each bit, for the sets ``which`` names, one after the other."""
+    first = np.concatenate(([0], np.cumsum(words)))
+    bit = first[which] * 64 + (h & (words[which] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.bincount(bit, minlength=int(first[-1]) * 64).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").view("<u8")
 
 
 def prefix_size(n, percent: int):
@@ -145,12 +159,8 @@ def _mark_batches(shingle: int, percent: int, frequent: np.ndarray):
                 place = np.arange(len(s.h)) - s.start[s.row]
                 inside = place < prefix_size(s.n, percent)[s.row]
                 prefix = s.h[inside]
-                words = map_words(n)
-                first = np.concatenate(([0], np.cumsum(words)))
-                which = np.searchsorted(full, s.row)
-                bit = first[which] * 64 + (s.h & (words[which] * 64 - 1).astype(np.uint64)).astype(np.int64)
-                bits = np.bincount(bit, minlength=int(first[-1]) * 64).astype(np.uint8) & 1
-                bitmap = np.packbits(bits, bitorder="little").view("<u8")
+                words = map_words(n, NARROW)
+                bitmap = _bitmaps(s.h, np.searchsorted(full, s.row), words)
                 starts = np.concatenate(([0], np.cumsum(size)))[:-1]
                 take = np.full(c.rows, -1)
                 take[full] = np.arange(len(full))
@@ -173,6 +183,17 @@ def _set_batches(shingle: int, wanted: np.ndarray):
     return run
 
 
+def _wide_batches(batches):
+    """Wide bitmaps (key, bitmap, known) of whole sets (node, items)."""
+    for b in batches:
+        offsets = b.column(1).offsets.to_numpy()
+        n = np.diff(offsets).astype(np.int64)
+        h = b.column(1).values.to_numpy()[offsets[0]:offsets[-1]].view(np.uint64)
+        words = map_words(n, WIDE)
+        maps = _lists(_bitmaps(h, np.repeat(np.arange(len(n)), n), words), words)
+        yield pa.RecordBatch.from_arrays([b.column(0), maps, pa.nulls(len(n), maps.type)], names=["key", "bitmap", "known"])
+
+
 def _key_hash(key: pa.Array) -> np.ndarray:
     """First halves of 16-byte keys."""
     return np.frombuffer(b"".join(x.as_py()[:8] for x in key), "<u8")
@@ -263,7 +284,7 @@ def near_pairs(unit, label, n, pos, maps: Bitmaps, percent: int, forest: bool) -
     return (np.concatenate([a for a, _ in found] or [none]), np.concatenate([b for _, b in found] or [none]))
 
 
-def _unit_batches(percent: int, forest: bool, rows: int = 1 << 14):
+def _unit_batches(percent: int, forest: bool, rows: int = 1 << 13):
     """``near_pairs`` over a partition sorted by unit and n: ids of the pairs."""
     def run(batches):
         held: pa.Table | None = None
@@ -291,18 +312,25 @@ def _unit_batches(percent: int, forest: bool, rows: int = 1 << 14):
     return run
 
 
-def candidates(rows: DataFrame, percent: int, *, forest: bool, tile: int = TILE) -> DataFrame:
-    """Pairs a < b of ids of rows (list, label, id, n, pos, bitmap, known), without repeats.
+def candidates(rows: DataFrame, maps: DataFrame, percent: int, *, forest: bool, tile: int = TILE) -> DataFrame:
+    """Pairs a < b of ids of rows (list, label, id, n, pos, key), without repeats.
 
-    Rows of a list meet in parts of about ``tile``, every two parts in a unit of their own.
+    ``maps`` has the bitmap and known bits of each key.  Rows of a list meet in parts of
+    about ``tile``, every two parts in a unit of their own; bitmaps only join the rows of
+    lists with more than one label.
     """
-    size = rows.groupBy("list").agg(F.count("*").alias("_size"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
-    size = size.filter("_lo <> _hi").select("list", F.ceil(F.col("_size") / F.lit(tile)).cast("int").alias("cuts"))
+    own = "own" if "own" in rows.columns else F.lit(True)
+    size = rows.groupBy("list").agg(F.count("*").alias("_size"), F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max(own).alias("_own"))
+    size = size.filter("_lo <> _hi and _own").select("list", F.ceil(F.col("_size") / F.lit(tile)).cast("int").alias("cuts"))
     near = rows.join(size, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
     near = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    near = near.select(F.xxhash64("list", F.least("part", "other"), F.greatest("part", "other")).alias("unit"), "label", "id", "n", F.col("pos").cast("long"), "bitmap", "known")
-    near = near.repartition("unit").sortWithinPartitions("unit", "n", "id")
-    return map_arrow(near, _unit_batches(percent, forest), "a long, b long").distinct()
+    near = near.select(F.xxhash64("list", F.least("part", "other"), F.greatest("part", "other")).alias("unit"), "label", "id", "n", F.col("pos").cast("long"), "key")
+    near = materialise(near, "set-units", free=True)
+    placed = near.join(maps, "key").select("unit", "label", "id", "n", "pos", "bitmap", "known")
+    placed = placed.repartition("unit").sortWithinPartitions("unit", "n", "id")
+    found = materialise(map_arrow(placed, _unit_batches(percent, forest), "a long, b long").distinct(), "set-pairs", free=True)
+    discard(near)
+    return found
 
 
 # ---- verification
@@ -324,12 +352,13 @@ def _verify_batches(percent: int):
                 assert key == (a[i], salt[i])
                 both = len(np.intersect1d(items, own, assume_unique=True))
                 ok[i] = 100 * both >= percent * (len(items) + len(own) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(node[ok])], names=["a", "b"])
+            tail = role == 1
+            yield pa.RecordBatch.from_arrays([pa.array(a[tail]), pa.array(node[tail]), pa.array(ok[tail])], names=["a", "b", "ok"])
     return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, *, share: int = 256) -> DataFrame:
-    """The pairs (a, b) whose sets link.
+    """The pairs (a, b) with ``ok``: whether their sets link.
 
     Each a meets its b's in shares of about ``share``, so its set is sent once a share.
     """
@@ -338,7 +367,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, *, share: int = 25
     first = heads.select("a", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("node"))
     rows = first.union(tails).join(sets, "node").select("a", "salt", "role", "node", "items")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    return map_arrow(rows, _verify_batches(percent), "a long, b long")
+    return materialise(map_arrow(rows, _verify_batches(percent), "a long, b long, ok boolean"), "set-verified", free=True)
 
 
 def _whole_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
@@ -368,13 +397,30 @@ def _group_table(members: DataFrame) -> DataFrame:
     return whole.join(many, "g", "left").select("g", "n", "prefix", F.coalesce("every", "one").alias("bitmap"), "known")
 
 
-def _list_rows(groups: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows of the lists of prefix shingles: a row for each part (g, id, label) of a group."""
-    prefix = groups.select("g", F.posexplode("prefix").alias("pos", "list"))
-    rows = prefix.join(parts, "g")
-    # lists with one label are passed over before bitmaps are joined to the others
+def _list_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of prefix shingles (list, label, id, n, pos, key), cut into lists by size.
+
+    Sets that link are of one size class or two adjacent ones, so each row goes to the list
+    of its own class and to that of the next; lists that have no row of their own class
+    find nothing new.
+    """
     live = rows.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("list")
-    return rows.join(live, "list", "left_semi").join(groups.select("g", "n", "bitmap", "known"), "g").select("list", "label", "id", "n", "pos", "bitmap", "known")
+    live = materialise(rows.join(live, "list", "left_semi"), "set-lists", free=True)
+    # a little wider than needed, so that no rounding parts a pair
+    step = F.floor(F.log("n") / F.lit(-np.log(percent / 100) * (1 + 1e-9))).cast("int")
+    sized = live.select("*", step.alias("step"), F.explode(F.array(F.lit(True), F.lit(False))).alias("own"))
+    return sized.select(F.xxhash64("list", F.when(F.col("own"), F.col("step")).otherwise(F.col("step") + 1)).alias("list"), "label", "id", "n", "pos", "key", "own")
+
+
+def _undecided(found: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, label): the nodes of components that a refuted candidate touches.
+
+    Every component of candidates with a refuted one is made of such components.
+    """
+    ends = found.select("ok", F.explode(F.array("a", "b")).alias("node"))
+    ends = ends.join(label, "node", "left").select("node", F.coalesce("root", "node").alias("label"), (~F.col("ok")).alias("open"))
+    touched = ends.filter("open").select("label").distinct()
+    return ends.select("node", "label").distinct().join(touched, "label").select("node", "label")
 
 
 def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
@@ -395,35 +441,33 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int
     groups = materialise(_group_table(members), "set-groups", free=True)
 
     star = members.filter("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"))
-    whole = groups.select("g", F.col("g").alias("id"), F.col("g").alias("label"))
-    forest = candidates(_list_rows(groups, whole), percent, forest=True, tile=tile)
-    tested = materialise(star.union(forest), "set-forest", free=True)
-    links = _verified(docs, tested, classes, shingle, percent)
-
-    label = connected_components(links)
-    placed = members.select("node", "g", "n", "bitmap").join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    placed = materialise(placed, "set-placed", free=True)
-    parts = materialise(placed.groupBy("g", "label").agg(F.min("node").alias("id")), "set-parts")
-    inside = parts.join(groups.select("g", "n", "bitmap", "known"), "g").select(F.xxhash64("g", F.lit("group")).alias("list"), "label", "id", "n", F.lit(0).alias("pos"), "bitmap", "known")
-    open_pairs = materialise(candidates(_list_rows(groups, parts).unionByName(inside), percent, forest=False, tile=tile), "set-open", free=True)
-    # the members of both parts of a pair, in a list of their own
-    of_part = placed.join(parts.select("g", "label", F.col("id").alias("part_id")), ["g", "label"])
-    pair_list = open_pairs.select(F.xxhash64("a", "b").alias("list"), F.explode(F.array("a", "b")).alias("part_id"))
-    rows = pair_list.join(of_part, "part_id").select("list", "label", F.col("node").alias("id"), "n", F.lit(0).alias("pos"), "bitmap", F.lit(None).cast("array<bigint>").alias("known"))
-    late = candidates(rows, percent, forest=False, tile=tile)
-    late = materialise(late.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "set-late", free=True)
-    if not late.isEmpty():
-        links = links.union(_verified(docs, late, classes, shingle, percent))
-        label = connected_components(links)
+    own = groups.select(F.col("g").alias("id"), F.col("g").alias("label"), F.col("g").alias("key"), "n", F.posexplode("prefix").alias("pos", "list"))
+    forest = candidates(_list_rows(own, percent), groups.select(F.col("g").alias("key"), "bitmap", "known"), percent, forest=True, tile=tile)
+    tested = materialise(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(forest).distinct(), "set-forest", free=True)
+    sets = _whole_sets(docs, _ends(tested), classes, shingle)
+    found = verified(tested, sets, percent)
+    links = found.filter("ok").select("a", "b")
+
+    label = materialise(connected_components(links), "set-labels")
+    left = materialise(_undecided(found, label), "set-undecided")
+    if not left.isEmpty():
+        wide = materialise(map_arrow(sets.join(left, "node", "left_semi").select("node", "items"), _wide_batches, "key long, bitmap array<bigint>, known array<bigint>"), "set-wide", free=True)
+        own = members.join(left, "node").select(F.col("node").alias("id"), F.col("node").alias("key"), "label", "n", F.posexplode("prefix").alias("pos", "list"))
+        for forest in (True, False):
+            late = candidates(_list_rows(own, percent), wide, percent, forest=forest, tile=tile)
+            late = materialise(late.join(tested, ["a", "b"], "left_anti"), "set-late", free=True)
+            if late.isEmpty():
+                continue
+            tested = tested.union(late)
+            new = verified(late, sets, percent).filter("ok").select("a", "b")
+            if new.isEmpty():
+                continue
+            links = links.union(new)
+            label = materialise(connected_components(links), "set-labels")
+            own = own.drop("label").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+    discard(sets)
 
     of_key = classes.select("key", "node", "first_id").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of_key.groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = marks.select("doc_id", "n", "key").join(of_key.join(least, "root").select("key", "component_id"), "key", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    sets = _whole_sets(docs, _ends(pairs), classes, shingle)
-    out = materialise(verified(pairs, sets, percent), "set-links", free=True)
-    discard(sets)
-    return out

@@ -109,15 +109,35 @@ def test_a_crowd_costs_a_forest(spark):
         w[rng.randrange(120)] = f"n{i}"
         rows.append((i, " ".join(w)))
     asked = []
-    real = setjoin._verified
+    real = setjoin.verified
     try:
-        setjoin._verified = lambda docs, pairs, *rest: (asked.append(pairs.count()), real(docs, pairs, *rest))[1]
+        setjoin.verified = lambda pairs, *rest: (asked.append(pairs.count()), real(pairs, *rest))[1]
         got = setjoin.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
     finally:
-        setjoin._verified = real
+        setjoin.verified = real
     assert {r["component_id"] for r in got} == {0} and sum(asked) < 12 * len(rows)
 
 
+def test_a_crowd_about_the_bound(spark):
+    """Near copies of which most pairs are just below the bound: few pairs are verified, no link is lost."""
+    rng = random.Random(9)
+    base = [f"c{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3])):
+            w[rng.randrange(150)] = f"n{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(w)))
+    asked = []
+    real = setjoin.verified
+    try:
+        setjoin.verified = lambda pairs, *rest: (asked.append(pairs.count()), real(pairs, *rest))[1]
+        got = result(setjoin.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(4), tile=64))
+    finally:
+        setjoin.verified = real
+    assert got == plain(rows) and sum(asked) < 0.25 * 260 * 259 / 2
+
+
 def test_bitmaps_never_exceed_the_difference():
     rng = random.Random(3)
     sets = []
@@ -125,7 +145,7 @@ def test_bitmaps_never_exceed_the_difference():
         base = [rng.getrandbits(64) for _ in range(rng.choice([3, 50, 130, 300, 700]))]
         for _ in range(3):
             sets.append({x for x in base if rng.random() < 0.97} | {rng.getrandbits(64) for _ in range(rng.randrange(9))})
-    words = setjoin.map_words(np.array([len(s) for s in sets]))
+    words = setjoin.map_words(np.array([len(s) for s in sets]), setjoin.NARROW)
     maps = []
     for s, w in zip(sets, words):
         bits = np.zeros(64 * int(w), np.uint8)
