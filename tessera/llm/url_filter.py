@@ -105,7 +105,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(tree).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, ratio: float = 1.0, tie: float = 1e-9, settle_every: int = 5, rounds: int | None = None) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, ratio: float = 1.0, tie: float = 1e-9, settle_every: int = 10, rounds: int | None = None) -> DataFrame:
     """Trust and distrust of every host by personalised PageRank.
 
     Rounds go on until they can change no host's verdict: no host was reached anew, and for
@@ -137,13 +137,14 @@ def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, ratio:
             both = rank.withColumn("move", F.col("rank")).union(settled.select("kind", "host", F.lit(0.0), -F.col("rank")))
             both = both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.abs(F.sum("move")).alias("move"))
             weight = F.when(F.col("kind") == "t", F.lit(ratio)).otherwise(F.lit(1.0))
-            left = both.agg(F.count("*").alias("n"), F.sum(weight * F.col("move")).alias("moved")).first()
             fade = damping ** settle_every
-            ahead = (left["moved"] or 0.0) * fade / (1 - fade)
-            sides = both.withColumn("w", weight * F.col("rank")).groupBy("host").agg(F.abs(F.sum(F.when(F.col("kind") == "t", F.col("w")).otherwise(-F.col("w")))).alias("apart"), F.sum("w").alias("all"))
-            open_hosts = sides.filter((F.col("apart") <= ahead) & ((F.col("apart") > tie * F.col("all")) | (F.lit(ahead) > tie * F.col("all"))))
-            done = left["n"] == reached and open_hosts.isEmpty()
-            reached = left["n"]
+            ahead = both.agg((F.coalesce(F.sum(weight * F.col("move")), F.lit(0.0)) * fade / (1 - fade)).alias("x")).scalar()  # a subquery of one value
+            sides = both.withColumn("w", weight * F.col("rank")).groupBy("host").agg(
+                F.count("*").alias("n"), F.abs(F.sum(F.when(F.col("kind") == "t", F.col("w")).otherwise(-F.col("w")))).alias("apart"), F.sum("w").alias("all"))
+            may_turn = (F.col("apart") <= ahead) & ((F.col("apart") > tie * F.col("all")) | (ahead > tie * F.col("all")))
+            now = sides.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(may_turn).alias("open")).first()
+            done = now["n"] == reached and now["open"] == 0
+            reached = now["n"]
         else:
             done = i >= rounds
         if settled is not start:
