@@ -87,12 +87,13 @@ def reconcile(thresholds: DataFrame, keys: list[str] = KEYS, tolerance: float =
     the keys, n_sources, n_top, top_authority, spread_percent, conflict, mixed_units and
     the primary source's columns in ``primary`` (null on conflict).
 
-    Sources are summed up by authority first, so a group with very many is pre-aggregated.
+    Sources are dealt out once, by their group, as they are: their sums are wider than they
+    are.  A group with very many is sorted in its task, which spills, and never held there.
     """
     fields = [c for c in thresholds.columns if c not in keys]
     unit = F.xxhash64(F.lower(F.trim("unit")))
     own_unit = F.when(F.col("unit").isNotNull(), unit)
-    tiers = thresholds.groupBy(*keys, "authority_score").agg(
+    tiers = thresholds.repartition(*keys).groupBy(*keys, "authority_score").agg(
         F.count("*").alias("n"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.max(F.abs("value")).alias("abs"),
         F.min_by(F.struct(*fields), F.struct("ord", "supplier_name")).alias("first"), F.coalesce(F.min(own_unit) < F.max(own_unit), F.lit(False)).alias("mixed"))
     top = tiers.groupBy(*keys).agg(F.sum("n").alias("n_sources"), F.max_by(F.struct("n", "hi", "lo", "abs", "first", "mixed", "authority_score"), "authority_score").alias("t"))
@@ -110,7 +111,8 @@ def audit_notes(thresholds: DataFrame, reconciled: DataFrame, keys: list[str] =
     have top authority.
     """
     r = reconciled.select(*keys, "top_authority", "conflict", F.col("primary.ord").alias("_ord"))
-    j = thresholds.join(r, keys)
+    # dealt out as ``reconcile`` does it, so that one exchange serves both
+    j = thresholds.repartition(*keys).join(r, keys)
     score = F.col("authority_score").cast("string")
     # fixed values: the texts of the notes on selected and superseded sources
     note = (F.when(F.col("conflict") & (F.col("authority_score") == F.col("top_authority")), F.concat(F.lit("Conflict: "), F.col("supplier_name"), F.lit("="), F.col("value").cast("string"), F.col("unit")))
