@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tessera.operators.search import idf_table, inverted_index
+from tessera.operators.search import counted_index, idf_table, inverted_index
 from tessera.sources.shared import written
 
 #: Documents of a block, and blocks of an item that are scored first.
@@ -118,7 +118,7 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, *, k: int = 5, least_idf:
     below that idf are left out, and so are documents whose distinct terms have a lower
     Jaccard similarity with the remaining query terms.  Scores have eight decimals.
     """
-    index = written(inverted_index(docs), "index")  # read for idf, norms and postings
+    index = written(counted_index(docs), "index")  # read for idf, norms and postings
     idf = written(idf_table(index, docs), "idf")
     asked = written(query_terms(queries, idf, least_idf), "asked")
     blocks = block_index(index, idf, asked.select("term", "idf").distinct(), size=size)

@@ -17,6 +17,11 @@ def inverted_index(docs: DataFrame) -> DataFrame:
     return term.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+def counted_index(docs: DataFrame) -> DataFrame:
+    """``inverted_index`` of documents dealt out whole: texts are moved, not their words."""
+    return inverted_index(docs.select("doc_id", "text").repartition("doc_id"))
+
+
 def positional_index(docs: DataFrame) -> DataFrame:
     """(term, doc_id, pos), positions from 0."""
     return docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term")).select("term", "doc_id", "pos")
@@ -123,17 +128,19 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, *, k: int = 5, least_idf:
     below that idf are left out, and so are documents whose distinct terms have a lower
     Jaccard similarity with the remaining query terms.  Scores have eight decimals.
     """
-    index = written(inverted_index(docs), "index")  # read for idf, weights and norms
-    idf = idf_table(index, docs)
-    weighted = index.join(idf, "term").select("term", "doc_id", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count("*").alias("doc_terms"))
+    index = written(counted_index(docs), "index")  # read for idf, norms and postings
+    idf = written(idf_table(index, docs), "idf")
+    w = F.col("tf") * F.col("idf")
+    norms = index.join(idf, "term").groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"), F.count("*").alias("doc_terms"))
     q = inverted_index(queries.select(F.col("item_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "item_id")
-    qw = q.join(idf, "term").select("item_id", "term", "idf", (F.col("tf") * F.col("idf")).alias("qw"))
+    qw = written(q.join(idf, "term").select("item_id", "term", "idf", (F.col("tf") * F.col("idf")).alias("qw")), "asked")
     qnorm = qw.groupBy("item_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
     if least_idf is not None:
         qw = qw.filter(F.col("idf") >= least_idf)
     kept = qw.groupBy("item_id").agg(F.count("*").alias("query_terms"))
-    dots = qw.join(weighted, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"), F.count("*").alias("shared"))
+    # a document's postings of query terms come together before items multiply them
+    postings = index.join(qw.select("term", "idf").distinct(), "term").select("doc_id", "term", w.alias("w")).repartition("doc_id")
+    dots = postings.join(qw.select("item_id", "term", "qw"), "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"), F.count("*").alias("shared"))
     full = dots.join(norms, "doc_id").join(qnorm, "item_id").join(kept, "item_id")
     if least_jaccard is not None:
         full = full.filter(F.col("shared") / (F.col("query_terms") + F.col("doc_terms") - F.col("shared")) >= least_jaccard)
