@@ -6,8 +6,8 @@ bytes.  No piece of such a vocabulary holds a space mark after another character
 text is encoded space by space and each distinct word of a slice needs its agenda once.
 The agendas of a slice's words advance in lockstep: every round takes the best pair of
 each word, as arrays, until no word has one left.  Texts with runs of spaces and very long
-words go through a heap instead, with the same results.  In every Arrow batch some whole rows are encoded and decoded by the
-sentencepiece library too, and a difference stops the job.
+words go through a heap instead, with the same results.  The sentencepiece library
+encodes and decodes every row too, and a difference stops the job.
 
 Nulls and edge cases: null and empty texts have no ids and decode to an empty text; runs
 of spaces, line feeds, characters outside the vocabulary and very long words are encoded
@@ -37,7 +37,7 @@ SLICE_BYTES = 1 << 20
 #: Words whose ids a worker remembers (about 40 bytes each); it starts afresh beyond.
 MEMO_WORDS = 1_500_000
 #: Share of the rows that the library encodes again.
-CHECK_SHARE = 0.25
+CHECK_SHARE = 1.0
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
