@@ -34,13 +34,14 @@ class StoredIndex:
         """Write the index of (doc_id, text); doc_ids are distinct integers."""
         numbers = numbered(docs.select("doc_id"), ["doc_id"], "no", start=0)
         numbers.write.parquet(f"{path}/docs")
-        hits = positional_index(docs).groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("places"))
-        placed = hits.join(docs.sparkSession.read.parquet(f"{path}/docs"), "doc_id")
-        placed = placed.select("term", F.floor(F.col("no") / F.lit(block)).cast("int").alias("block"), F.struct((F.col("no") % block).cast("int").alias("at"), "places").alias("hit"))
-        # a block's documents at most
-        rows = placed.groupBy("term", "block").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
-        rows = rows.select("term", "block", F.lit(block).alias("width"), "hits.at", "hits.places", _folder(F.col("term"), folders).alias("folder"))
-        rows.repartition(folders, "folder").sortWithinPartitions("folder", "term", "block").write.option("parquet.writer.version", "v2").option("compression", "zstd").partitionBy("folder").parquet(f"{path}/terms")
+        # documents are dealt out whole with their numbers, so that words are gathered where they lie
+        whole = docs.select("doc_id", "text").join(docs.sparkSession.read.parquet(f"{path}/docs"), "doc_id").select(F.col("no").alias("doc_id"), "text").repartition("doc_id")
+        hits = positional_index(whole).groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+        placed = hits.select("term", F.floor(F.col("doc_id") / F.lit(block)).cast("int").alias("block"), F.struct((F.col("doc_id") % block).cast("int").alias("at"), "places").alias("hit"))
+        # dealt out by folder once, for the blocks and for the files; a block's documents at most
+        rows = placed.withColumn("folder", _folder(F.col("term"), folders)).repartition(folders, "folder").groupBy("folder", "term", "block").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+        rows = rows.select("term", "block", F.lit(block).alias("width"), "hits.at", "hits.places", "folder")
+        rows.sortWithinPartitions("folder", "term", "block").write.option("parquet.writer.version", "v2").option("compression", "zstd").partitionBy("folder").parquet(f"{path}/terms")
         return StoredIndex(docs.sparkSession, path, folders=folders)
 
     def blocks(self, terms: list[str]) -> DataFrame:
