@@ -1,87 +1,120 @@
 """Alarms of streams that keep state: rate limits and silent devices, closed by watermarks.
 
 State is held for what the watermark has not passed, and timers take it away: a device's
-counts of open windows, and the times of its events that a later one may still follow.
+counts of open windows, and its runs of events that a later one may still follow.  Each
+call of Spark's state interface goes to the JVM and back, so a device's state is one value
+that a batch reads and writes once, and one timer stands for the first window or run to end.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class RateLimit(StatefulProcessor):
+class _OneValue(StatefulProcessor):
+    """A device's state: two lists beside each other, and when it is looked at next."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "a array<long>, b array<long>, timer long")
+
+    def read(self) -> tuple[list[int], list[int], int | None]:
+        return self.state.get() or ([], [], None)
+
+    def write(self, a: list[int], b: list[int], due: int, timer: int | None) -> None:
+        """``due``: when the first of the lists ends; a timer before that looks again."""
+        if timer is None or due < timer:
+            self.handle.registerTimer(due)
+            timer = due
+        self.state.update((a, b, timer))
+
+
+class RateLimit(_OneValue):
     """Windows in which a device sent more than ``limit`` events, once each is over."""
 
     def __init__(self, limit: int, window_ms: int):
         self.limit, self.window = limit, window_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "start long", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            start = batch["at_us"] // (1000 * self.window) * self.window
-            # Spark itself lets pass what came one watermark too late
-            in_time = batch["counted"] & (start + self.window > timerValues.getCurrentWatermarkInMs())
-            for at, n in start[in_time].value_counts().items():
-                had = self.open.getValue((int(at),))[0] if self.open.containsKey((int(at),)) else 0
-                self.open.updateValue((int(at),), (int(had) + int(n),))
-                if not had:
-                    self.handle.registerTimer(int(at) + self.window)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        us = 1000 * self.window
+        came = Counter(at // us * self.window for _, at in rows if at is not None)
+        # Spark itself lets pass what came one watermark too late
+        now = timerValues.getCurrentWatermarkInMs()
+        came = {at: n for at, n in came.items() if at + self.window > now}
+        if came:
+            starts, counts, timer = self.read()
+            had = dict(zip(starts, counts))
+            for at, n in came.items():
+                had[at] = had.get(at, 0) + n
+            self.write(list(had), list(had.values()), min(had) + self.window, timer)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs() - self.window
-        if self.open.containsKey((at,)):
-            n = int(self.open.getValue((at,))[0])
-            self.open.removeKey((at,))
-            if n > self.limit:
-                yield pd.DataFrame({"user_id": [key[0]], "at_us": [1000 * at], "n": [n]})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        starts, counts, _ = self.read()
+        now = timerValues.getCurrentWatermarkInMs()
+        left = {at: n for at, n in zip(starts, counts) if at + self.window > now}
+        if left:
+            self.write(list(left), list(left.values()), min(left) + self.window, None)
+        else:
+            self.state.clear()
+        for at, n in zip(starts, counts):
+            if at not in left and n > self.limit:
+                yield Row(user_id=key[0], at_us=1000 * at, n=n)
 
 
-class Silence(StatefulProcessor):
-    """Events that none of the same device follows within the gap, once it is over."""
+class Silence(_OneValue):
+    """Events that none of the same device follows within the gap, once it is over.
+
+    A run of events with no longer gap between them is held as its first and its last.
+    """
 
     def __init__(self, gap_us: int):
         self.gap = gap_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.times = handle.getMapState("times", "at_us long", "one int")
-
     def _timer(self, at: int) -> int:
         return (at + self.gap) // 1000 + 1
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            in_time = batch["counted"] & (batch["at_us"] >= 1000 * timerValues.getCurrentWatermarkInMs())
-            for at in batch.loc[in_time, "at_us"].unique():
-                self.times.updateValue((int(at),), (1,))
-                self.handle.registerTimer(self._timer(int(at)))
+    def _runs(self, pieces: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+        firsts, lasts = [], []
+        for first, last in sorted(pieces):
+            if lasts and first - lasts[-1] <= self.gap:
+                lasts[-1] = max(last, lasts[-1])
+            else:
+                firsts.append(first)
+                lasts.append(last)
+        return firsts, lasts
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        since = 1000 * timerValues.getCurrentWatermarkInMs()
+        came = {at for _, at in rows if at is not None and at >= since}
+        if came:
+            firsts, lasts, timer = self.read()
+            firsts, lasts = self._runs([*zip(firsts, lasts), *((at, at) for at in came)])
+            self.write(firsts, lasts, self._timer(lasts[0]), timer)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        known = sorted(int(k[0]) for k in self.times.keys())
-        due = [t for t in known if self._timer(t) <= now]
-        alone = [t for t, nxt in zip(known, known[1:] + [None]) if t in set(due) and (nxt is None or nxt - t > self.gap)]
-        for t in due:
-            self.times.removeKey((t,))
-        if alone:
-            yield pd.DataFrame({"user_id": [key[0]] * len(alone), "at_us": alone})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        firsts, lasts, _ = self.read()
+        now = timerValues.getCurrentWatermarkInMs()
+        over = sum(self._timer(at) <= now for at in lasts)  # the first ones: runs follow each other
+        if over < len(lasts):
+            self.write(firsts[over:], lasts[over:], self._timer(lasts[over]), None)
+        else:
+            self.state.clear()
+        for at in lasts[:over]:
+            yield Row(user_id=key[0], at_us=at)
 
 
 def _keyed(events: DataFrame, watermark: str):
-    """By device; rows of the clock only move the watermark."""
-    rows = events.withWatermark("ts", watermark).select("user_id", "ts", F.unix_micros("ts").alias("at_us"), (F.col("event_type") != "clock").alias("counted"))
+    """Times by device; rows of the clock have none and only move the watermark."""
+    rows = events.withWatermark("ts", watermark).select("user_id", F.when(F.col("event_type") != "clock", F.unix_micros("ts")).alias("at_us"))
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return rows.groupBy("user_id")
 
@@ -95,13 +128,13 @@ def rate_limited(events: DataFrame, limit: int, *, window_ms: int = 3_600_000, w
 
     A window comes out once the watermark has passed its end; later events are left out.
     """
-    out = _keyed(events, watermark).transformWithStateInPandas(RateLimit(limit, window_ms), "user_id long, at_us long, n long", "append", "EventTime")
+    out = _keyed(events, watermark).transformWithState(RateLimit(limit, window_ms), "user_id long, at_us long, n long", "append", "EventTime")
     return out.select("user_id", _clock_text(F.col("at_us")).alias("window_start"), "n")
 
 
 def silent(events: DataFrame, *, gap_seconds: int, watermark: str = "10 minutes") -> DataFrame:
     """Stream of (user_id, silent_since): no event for longer than the gap after that time."""
-    out = _keyed(events, watermark).transformWithStateInPandas(Silence(1_000_000 * gap_seconds), "user_id long, at_us long", "append", "EventTime")
+    out = _keyed(events, watermark).transformWithState(Silence(1_000_000 * gap_seconds), "user_id long, at_us long", "append", "EventTime")
     return out.select("user_id", _clock_text(F.col("at_us")).alias("silent_since"))
 
 

@@ -1,5 +1,8 @@
 """Committed batches, topic logs with replay, stateful alarms with late events."""
 
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +123,46 @@ def test_silence_waits_for_the_watermark(spark, tmp_path):
     assert got == [(1, day + "02:15:00"), (2, day + "01:10:00")]
 
 
+def state_rows(spark, tmp_path, make, n):
+    """Rows of state and timers after ``n`` events, days apart, of each of three devices."""
+    path = str(tmp_path / f"log-{n}")
+    times = "timestamp'2024-01-01' + make_interval(0, 0, 0, 3 * CAST(id AS int))"
+    events = spark.range(n).selectExpr("id AS event_id", f"date_format({times}, 'yyyy-MM-dd HH:mm:ss') AS ts", "explode(array(1L, 2L, 3L)) AS user_id", "'click' AS event_type", "1.0D AS value", "'{}' AS props")
+    topics.publish(topics.topic_log(spark, path), monitor.as_messages(events), 0)
+    stream = make(monitor.as_events(topics.stream_topics(spark, path)))
+    query = stream.writeStream.format("noop").outputMode("append").option("checkpointLocation", str(tmp_path / f"check-{n}")).start()
+    try:
+        query.processAllAvailable()
+        first = [p for p in query.recentProgress if p["numInputRows"]][0]["stateOperators"][0]
+    finally:
+        query.stop()
+    return first["numRowsUpdated"], first["customMetrics"]["numRegisteredTimers"]
+
+
+def test_silence_state_grows_with_devices_alone(spark, tmp_path):
+    make = lambda e: stateful.silent(e, gap_seconds=86_400)
+    few, many = (state_rows(spark, tmp_path, make, n) for n in (2, 200))
+    assert few == many and many[1] == 3, (few, many)
+
+
+def silent_in(rows, gap):
+    """Model of the silence alarms over all events."""
+    by = {}
+    for u, t in rows:
+        by.setdefault(u, set()).add(t)
+    return sorted((u, a) for u, ts in by.items() for a, b in zip(sorted(ts), [*sorted(ts)[1:], None]) if b is None or b - a > gap)
+
+
+def test_silence_in_batches_equals_all_at_once(spark, tmp_path):
+    """Batches overlap by less than the watermark: runs grow at both ends and grow together."""
+    rng, day = random.Random(7), datetime(2024, 1, 1)
+    rows = [(rng.randrange(4), day + timedelta(minutes=rng.randrange(0, 3000, 30))) for _ in range(120)]
+    rows.sort(key=lambda r: r[1] + timedelta(minutes=rng.randrange(240)))
+    cuts = [[(u, f"{t:%Y-%m-%d %H:%M:%S}") for u, t in rows[i:i + 30]] for i in range(0, 120, 30)]
+    got = alarms(spark, tmp_path, lambda e: stateful.silent(e, gap_seconds=3600, watermark="300 minutes"), [*cuts, []], "silence-cuts")
+    assert got == [(u, f"{t:%Y-%m-%d %H:%M:%S}") for u, t in silent_in(rows, timedelta(hours=1))]
+
+
 def test_topic_stream_equals_the_table(spark):
     got = catalogue.queries()["topic_window_counts"](spark, "/root/testdata/sf0.001")
     want = catalogue.queries()["streaming_window_counts"](spark, "/root/testdata/sf0.001")
