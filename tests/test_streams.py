@@ -145,6 +145,24 @@ def test_silence_state_grows_with_devices_alone(spark, tmp_path):
     assert few == many and many[1] == 3, (few, many)
 
 
+def test_rate_limit_state_grows_with_devices_alone(spark, tmp_path):
+    make = lambda e: stateful.rate_limited(e, 1)
+    few, many = (state_rows(spark, tmp_path, make, n) for n in (2, 200))
+    assert few == many and many[1] == 3, (few, many)
+
+
+def test_one_timer_closes_windows_of_many_batches(spark, tmp_path):
+    day = "2024-01-01 "
+    got = alarms(spark, tmp_path, lambda e: stateful.rate_limited(e, 1, watermark="2 hours"), [
+        [(1, day + "03:05:00"), (1, day + "03:06:00"), (1, day + "04:30:00")],
+        [(1, day + "02:40:00"), (1, day + "02:50:00"), (1, day + "04:40:00")],  # an earlier window than the timer's
+        [(1, day + "06:10:00")],                                                # closes two, leaves one
+        [(1, day + "04:50:00"), (1, day + "06:20:00")],
+        [],
+    ], "rate-many")
+    assert got == [(1, day + "02:00:00", 2), (1, day + "03:00:00", 2), (1, day + "04:00:00", 3), (1, day + "06:00:00", 2)]
+
+
 def silent_in(rows, gap):
     """Model of the silence alarms over all events."""
     by = {}
