@@ -1,18 +1,18 @@
-"""Top-k TF-IDF cosine by block bounds: only blocks that can reach the k-th score are read.
+"""Top-k TF-IDF cosine by block bounds: only blocks that can reach the k-th score are scored.
 
 Documents of like norm form blocks.  A block keeps, for each of its terms, the greatest
-normalised weight, so the bounds of an item's terms in a block add up to more than the
+normalised weight, so the bounds of an item's terms in a block add up to no less than the
 score of any document there.  The blocks with the highest bounds are scored first, which
-gives each item a k-th score that the answer cannot fall below.  In every other block the
-terms are taken from the least bound up; as long as their sum stays below that score, a
-document that has only these cannot be an answer.  Postings are read for the remaining,
-essential terms alone, and only documents whose partial score and the bounds of the rest
-still reach the k-th score are scored in full.  All steps are joins and windows; the
-answer is that of scoring everything.
+gives each item a k-th score that the answer cannot fall below.  Of the other blocks those
+are scored whose bounds add up to that score.  The answer is that of scoring everything.
+
+A block is one row with the postings of all its documents, and what is made of it stays in
+its task: only sums of bounds, a row for each item and block, are shuffled and written.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -24,14 +24,38 @@ from tessera.sources.shared import written
 BLOCK, PROBES = 8, 32
 #: Scores have eight decimals: what comes this near the k-th one may tie with it.
 MARGIN = 2e-8
+#: Terms of one in so many documents are common: at most that many times a document's mean number of terms.
+COMMON = 1000
 
 
 @dataclass
 class BlockIndex:
-    """``postings`` (term, doc_id, block, w, norm, doc_terms) and ``bounds`` (term, block, bound)."""
+    """``blocks`` (block, terms), where ``terms`` lists (term, bound, hits) and ``hits`` (doc_id, w, norm, doc_terms).
+
+    ``asked`` are the queries that ``bounded`` was last given.
+    """
+
+    blocks: DataFrame
+    asked: DataFrame | None = None
+
+    @property
+    def cells(self) -> DataFrame:
+        """(block, term, bound, hits)."""
+        return self.blocks.select("block", F.inline("terms"))
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, block, doc_id, w, norm, doc_terms)."""
+        return self.cells.select("term", "block", F.inline("hits"))
 
-    postings: DataFrame
-    bounds: DataFrame
+
+def _norms(index: DataFrame, idf: DataFrame) -> DataFrame:
+    """(doc_id, norm, doc_terms): only the postings of terms that are not common are shuffled by term."""
+    common = F.broadcast(idf.filter(F.col("idf") <= 1 + math.log(COMMON)).select("term", "idf"))
+    rare = index.join(common, "term", "left_anti").join(idf.filter(F.col("idf") > 1 + math.log(COMMON)).select("term", "idf"), "term")
+    w = F.col("tf") * F.col("idf")
+    sums = [x.groupBy("doc_id").agg(F.sum(w * w).alias("squares"), F.count("*").alias("n")) for x in (index.join(common, "term"), rare)]
+    return sums[0].unionByName(sums[1]).groupBy("doc_id").agg(F.sqrt(F.sum("squares")).alias("norm"), F.sum("n").alias("doc_terms"))
 
 
 def block_index(index: DataFrame, idf: DataFrame, terms: DataFrame, *, size: int = BLOCK) -> BlockIndex:
@@ -40,26 +64,27 @@ def block_index(index: DataFrame, idf: DataFrame, terms: DataFrame, *, size: int
     Norms are of all terms.  Blocks are cut inside quarter octaves of the norm, by a hash
     of the doc_id, into as many as hold about ``size`` documents.
     """
-    weighted = index.join(idf.select("term", "idf"), "term").select("doc_id", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count("*").alias("doc_terms"))
-    norms = written(norms.withColumn("octave", F.floor(F.log2("norm") * 4)), "norms")
+    norms = written(_norms(index, idf).withColumn("octave", F.floor(F.log2("norm") * 4)), "norms")
     cuts = norms.groupBy("octave").agg(F.ceil(F.count("*") / F.lit(size)).alias("cuts"))  # a row a quarter octave
     slot = F.pmod(F.xxhash64("doc_id"), F.col("cuts"))
     placed = norms.join(cuts, "octave").select("doc_id", "norm", "doc_terms", (F.col("octave") * F.lit(1 << 40) + slot).alias("block"))
     own = index.join(terms.select("term", "idf"), "term").select("term", "doc_id", (F.col("tf") * F.col("idf")).alias("w"))
-    postings = written(own.join(placed, "doc_id").select("term", "doc_id", "block", "w", "norm", "doc_terms"), "postings")
-    bounds = postings.groupBy("term", "block").agg(F.max(F.col("w") / F.col("norm")).alias("bound"))
-    return BlockIndex(postings, bounds)
+    dealt = own.join(placed, "doc_id").repartition("block")
+    cells = dealt.groupBy("block", "term").agg(F.max(F.col("w") / F.col("norm")).alias("bound"), F.collect_list(F.struct("doc_id", "w", "norm", "doc_terms")).alias("hits"))
+    return BlockIndex(written(cells.groupBy("block").agg(F.collect_list(F.struct("term", "bound", "hits")).alias("terms")), "blocks"))
 
 
-def _scored(pairs: DataFrame, index: BlockIndex, least_jaccard: float | None) -> DataFrame:
-    """(item_id, doc_id, score) of rows of ``bounded``, all documents of the block or the row's.
+def _by_block(pairs: DataFrame) -> DataFrame:
+    """(block, items) of (item_id, block)."""
+    return pairs.groupBy("block").agg(F.collect_list("item_id").alias("items"))
 
-    Only terms that stand in the block are looked up.
-    """
-    by = [c for c in ("block", "doc_id") if c in pairs.columns]
-    hits = pairs.select("item_id", *by, "qnorm", "query_terms", F.inline("terms")).join(index.postings, ["term", *by])
-    full = hits.groupBy("item_id", "doc_id").agg(
+
+def _scored(wanted: DataFrame, index: BlockIndex, least_jaccard: float | None) -> DataFrame:
+    """(item_id, doc_id, score) of all documents of each block in ``wanted`` (block, items) for each of its items."""
+    cells = index.blocks.join(wanted, "block").select("block", "items", F.inline("terms"))
+    met = cells.join(index.asked.select("item_id", "term", "qw", "qnorm", "query_terms"), "term").filter(F.array_contains("items", F.col("item_id")))
+    hits = met.select("item_id", "block", "qw", "qnorm", "query_terms", F.inline("hits"))
+    full = hits.groupBy("block", "item_id", "doc_id").agg(  # blocks lie together already
         F.sum(F.col("qw") * F.col("w")).alias("dot"), F.count("*").alias("shared"), F.first("norm").alias("norm"),
         F.first("doc_terms").alias("doc_terms"), F.first("qnorm").alias("qnorm"), F.first("query_terms").alias("query_terms"))
     if least_jaccard is not None:
@@ -84,31 +109,22 @@ def query_terms(queries: DataFrame, idf: DataFrame, least_idf: float | None = No
 
 
 def bounded(asked: DataFrame, index: BlockIndex) -> DataFrame:
-    """(item_id, block, most, terms, qnorm, query_terms): no score in the block is above ``most``.
-
-    ``terms`` holds (most, term, qw) of the item's terms there, from the least bound up.
-    """
-    hit = asked.join(index.bounds, "term").select("item_id", "block", (F.col("qw") / F.col("qnorm") * F.col("bound")).alias("most"), "term", "qw", "qnorm", "query_terms")
-    # an item's list is as long as its text has terms
-    return hit.groupBy("item_id", "block").agg(F.sum("most").alias("most"), F.array_sort(F.collect_list(F.struct("most", "term", "qw"))).alias("terms"), F.first("qnorm").alias("qnorm"), F.first("query_terms").alias("query_terms"))
+    """(item_id, block, most): no score in the block is above ``most``."""
+    index.asked = asked
+    hit = index.cells.select("block", "term", "bound").join(asked.select("item_id", "term", (F.col("qw") / F.col("qnorm")).alias("share")), "term")
+    return hit.groupBy("item_id", "block").agg(F.sum(F.col("share") * F.col("bound")).alias("most"))
 
 
 def candidates(held: DataFrame, index: BlockIndex, k: int, *, least_jaccard: float | None = None, probes: int = PROBES) -> DataFrame:
-    """Rows of ``bounded`` with doc_id: documents whose bounds reach the item's k-th score so far."""
-    first = held.withColumn("_n", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("most"), "block"))).filter(F.col("_n") <= probes).drop("_n")
+    """(item_id, doc_id, score) of the documents that reach the item's k-th score among the blocks scored first."""
+    order = W.partitionBy("item_id").orderBy(F.desc("most"), "block")
+    first = written(_by_block(held.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= probes)), "probes")
     probed = _ranked(_scored(first, index, least_jaccard), k)
     # without k documents so far everything may be an answer
-    floor = probed.filter(F.col("rank") == k).select("item_id", (F.col("score") - MARGIN).alias("floor"))
-    live = held.join(floor, "item_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).filter(F.col("most") >= F.col("floor"))
-    upto = lambda i: F.aggregate(F.slice("terms", F.lit(1), i + 1), F.lit(0.0), lambda a, x: a + x["most"])
-    live = live.withColumn("essential", F.filter("terms", lambda x, i: upto(i) >= F.col("floor")))
-    live = written(live, "live")  # few blocks are left: read for their postings and for all their terms
-    rest = F.col("most") - F.aggregate("essential", F.lit(0.0), lambda a, x: a + x["most"])
-    needed = live.select("item_id", "block", "floor", rest.alias("rest"), "qnorm", F.inline("essential"))
-    part = needed.join(index.postings.select("term", "block", "doc_id", (F.col("w") / F.col("norm")).alias("u")), ["term", "block"])
-    reached = part.groupBy("item_id", "block", "doc_id").agg(F.sum(F.col("qw") / F.col("qnorm") * F.col("u")).alias("part"), F.first("rest").alias("rest"), F.first("floor").alias("floor"))
-    reached = reached.filter(F.col("part") + F.col("rest") >= F.col("floor")).select("item_id", "block", "doc_id")
-    return reached.join(live.select("item_id", "block", "terms", "qnorm", "query_terms"), ["item_id", "block"])
+    floor = written(probed.filter(F.col("rank") == k).select("item_id", (F.col("score") - MARGIN).alias("floor")), "floor")
+    least = F.coalesce("floor", F.lit(0.0))
+    live = held.join(floor, "item_id", "left").filter(F.col("most") >= least)
+    return _scored(_by_block(live), index, least_jaccard).join(floor, "item_id", "left").filter(F.col("score") >= least).select("item_id", "doc_id", "score")
 
 
 def tfidf_search(docs: DataFrame, queries: DataFrame, *, k: int = 5, least_idf: float | None = None, least_jaccard: float | None = None, size: int = BLOCK, probes: int = PROBES) -> DataFrame:
@@ -123,5 +139,4 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, *, k: int = 5, least_idf:
     asked = written(query_terms(queries, idf, least_idf), "asked")
     blocks = block_index(index, idf, asked.select("term", "idf").distinct(), size=size)
     held = written(bounded(asked, blocks), "bounds")
-    found = candidates(held, blocks, k, least_jaccard=least_jaccard, probes=probes)
-    return _ranked(_scored(found, blocks, least_jaccard), k)
+    return _ranked(candidates(held, blocks, k, least_jaccard=least_jaccard, probes=probes), k)
